@@ -11,7 +11,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window as W
 
-from ..model import AppendRequest
+from ..model import MAX_POSITION, AppendRequest
 from ..plans.access import tag_index
 from ..plans.compiler import is_match_all
 
@@ -24,7 +24,7 @@ def request_items(spark, requests: list[AppendRequest]) -> DataFrame:
     for r, q in enumerate(requests):
         if q.condition is None:
             continue
-        after = -1 if q.condition.after is None else q.condition.after
+        after = -1 if q.condition.after is None else min(q.condition.after, MAX_POSITION - len(q.events) - 1)
         query = q.condition.fail_if_events_match
         items = [([], [])] if is_match_all(query) else [(sorted(set(i.types)), sorted(set(i.tags))) for i in query.items]
         rows += [(r, k, types, tags, after, max(1, len(q.events))) for k, (types, tags) in enumerate(items)]
@@ -74,7 +74,7 @@ def check_conditions(log: DataFrame, conditions: DataFrame) -> DataFrame:
     be as many as the log: the match is an equi-join on tag (on type where
     there is no tag), and the first match is a map-side minimum.
     """
-    after = F.coalesce(F.col("after"), F.lit(-1))
+    after = F.least(F.coalesce(F.col("after"), F.lit(-1)), F.lit(MAX_POSITION - 1))
     c = conditions.select("req", F.col("tag").alias("__tag"), F.col("event_type").alias("__type"), after.alias("__after"))
     tags = log.select("position", "event_type", F.explode(F.array_distinct("tags")).alias("__tag"))
     ok = (F.col("position") > F.col("__after")) & (F.col("__type").isNull() | (F.col("__type") == F.col("event_type")))

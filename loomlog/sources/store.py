@@ -286,7 +286,7 @@ class EventStore:
         for _ in range(retries):
             s = self.snapshot()
             keep = [f.name for f in LOG_SCHEMA.fields[1:] if f.name in events.columns]
-            ranked = global_rank(events.drop("position"), order, "position", start=s.head)
+            ranked = global_rank(events, order, "__position", start=s.head).drop("position").withColumnRenamed("__position", "position")
             if "tracking_info" not in keep:
                 ranked = ranked.withColumn("tracking_info", F.lit(None).cast("struct<source:string,position:bigint>"))
             ranked = ranked.select([F.col(f.name).cast(f.dataType) for f in LOG_SCHEMA.fields])
