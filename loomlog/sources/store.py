@@ -289,7 +289,7 @@ class EventStore:
             ranked = global_rank(events, order, "__position", start=s.head).drop("position").withColumnRenamed("__position", "position")
             if "tracking_info" not in keep:
                 ranked = ranked.withColumn("tracking_info", F.lit(None).cast("struct<source:string,position:bigint>"))
-            ranked = ranked.select([F.col(f.name).cast(f.dataType) for f in LOG_SCHEMA.fields])
+            ranked = ranked.select([F.col(f.name).cast(f.dataType.simpleString()).alias(f.name) for f in LOG_SCHEMA.fields])
             n = ranked.count()
             if n == 0:
                 return s.head
