@@ -221,11 +221,13 @@ def value_likeness(a: dict, b: dict, kind: str) -> float:
     forms = sum(min(fa.get(k, 0), fb.get(k, 0)) for k in fa)
     if kind in ("boolean", "array", "object"):
         return forms
-    va, vb = ({x["h"] for x in p["words"]} for p in (a, b))
+    va, vb = ({x["h"]: x["n"] for x in p["words"]} for p in (a, b))
     if len(va) == SKETCH or len(vb) == SKETCH:  # compare where both sketches reach
         edge = min(max(va), max(vb))
-        va, vb = {h for h in va if h <= edge}, {h for h in vb if h <= edge}
-    common = len(va & vb) / max(1, min(len(va), len(vb)))
+        va, vb = ({h: n for h, n in v.items() if h <= edge} for v in (va, vb))
+    # The share of occurrences whose word the other side has too; a few common words already tell.
+    shares = [sum(n for h, n in v.items() if h in w) / max(1, sum(v.values())) for v, w in ((va, vb), (vb, va))]
+    common = min(1.0, 0.8 * sum(shares))
     # A vocabulary is closed if values repeat; then other words mean another sort.
     repeat = [1 - p["distinct"] / p["n"] for p in (a, b)]
     wordy = sum(v for k, v in fa.items() if k in ("a", "Aa", "aA", "text") or re.fullmatch(r"A\d", k)) > 0.5
