@@ -2,12 +2,15 @@
 
 from __future__ import annotations
 
+import os
 from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from ..sources.tables import event_log
+from ..operators.tables import cut
+from ..sources.tables import event_log, table
+from . import leaks, packing, truncation
 from .cooccurrence import cooccurrence
 from .topk import frequent
 
@@ -38,8 +41,74 @@ def p4_top(spark: SparkSession, d: str) -> DataFrame:
     return frequent(event_log(spark, d), log_fields(), k=50).select("field", "item_value", "n")
 
 
+def rank_file() -> str:
+    """The rank file of the token lengths: LOOMLOG_RANKS, or the installed public one."""
+    if at := os.environ.get("LOOMLOG_RANKS"):
+        return at
+    import public_tokenizers
+
+    return public_tokenizers.path("byte_bpe_50k.tiktoken")
+
+
+def p7_packed(spark: SparkSession, d: str) -> DataFrame:
+    """Every message or piece with its container of 2,048 tokens."""
+    return packing.pack_documents(table(spark, d, "documents"), rank_file(), 2048).select("doc_id", "piece", "first_token", "tokens", "container")
+
+
+def p7_fill(spark: SparkSession, d: str) -> DataFrame:
+    """One row: containers, the least there could be by volume, and the share of room left unused."""
+    b = packing.pack_documents(table(spark, d, "documents"), rank_file(), 2048).groupBy("container").agg(F.sum("tokens").alias("t"))
+    total = F.sum("t")
+    return b.agg(F.count(F.lit(1)).alias("containers"), F.ceil(total / 2048).alias("least"), F.max("t").alias("fullest"), total.alias("tokens"), F.round(1 - total / (F.count(F.lit(1)) * 2048), 5).alias("unused"))
+
+
+def p8_found(spark: SparkSession, d: str) -> DataFrame:
+    """Documents with the items of which they hold at least 12 words in a row."""
+    out = leaks.find_leaks(table(spark, d, "documents"), table(spark, d, "eval_items"))
+    return out.filter("exact_windows > 0").select("doc_id", "item_id")
+
+
+def p8_items(spark: SparkSession, d: str) -> DataFrame:
+    """The leaked items: in how many documents, the longest passage, near matches included."""
+    out = leaks.find_leaks(table(spark, d, "documents"), table(spark, d, "eval_items"))
+    return out.groupBy("item_id").agg(F.count(F.lit(1)).alias("docs"), F.max("longest_run").alias("longest_run"), F.sum("windows").alias("windows"), F.sum("exact_windows").alias("exact_windows"))
+
+
+def p9_method(spark: SparkSession, d: str) -> DataFrame:
+    """What the named method alone finds: unknown final prefixes, and unended texts at their source's limit."""
+    return truncation.by_method(truncation.evidence(table(spark, d, "documents"))).select("doc_id").distinct()
+
+
+def p9_found(spark: SparkSession, d: str) -> DataFrame:
+    return truncation.truncated(truncation.evidence(table(spark, d, "documents"))).select("doc_id").distinct()
+
+
+def p9_shares(spark: SparkSession, d: str) -> DataFrame:
+    """How often each source cuts texts."""
+    seen = cut(truncation.evidence(table(spark, d, "documents")))
+    return truncation.shares(seen, truncation.truncated(seen))
+
+
+def p9_limits(spark: SparkSession, d: str) -> DataFrame:
+    """The lengths at which sources cut."""
+    return truncation.limits(truncation.scan(table(spark, d, "documents")))
+
+
 def queries() -> Queries:
-    return {"p1_found": p1_found, "p1_pairs": p1_pairs, "p4_found": p4_found, "p4_top": p4_top}
+    return {
+        "p1_found": p1_found,
+        "p1_pairs": p1_pairs,
+        "p4_found": p4_found,
+        "p4_top": p4_top,
+        "p7_packed": p7_packed,
+        "p7_fill": p7_fill,
+        "p8_found": p8_found,
+        "p8_items": p8_items,
+        "p9_method": p9_method,
+        "p9_found": p9_found,
+        "p9_shares": p9_shares,
+        "p9_limits": p9_limits,
+    }
 
 
 PAIRS = """
