@@ -60,11 +60,12 @@ def heavy_pairs(items: DataFrame, heavy: list[str]) -> DataFrame:
     return items.mapInArrow(count, "a string, b string, n bigint").groupBy("a", "b").agg(F.sum("n").alias("n"))
 
 
-def cooccurrence(df: DataFrame, row_id: str, items: str, min_count: int = 1, min_lift: int | None = None, max_heavy: int = 256) -> DataFrame:
+def cooccurrence(df: DataFrame, row_id: str | None, items: str, min_count: int = 1, min_lift: int | None = None, max_heavy: int = 256) -> DataFrame:
     """Pairs of items in one record: (item_a, item_b, n_ab, n_a, n_b, lift), item_a < item_b.
 
-    ``row_id`` is unique; ``items`` an array of text. Null arrays and items
-    count for nothing, a repeated item once per record; records without items
+    ``row_id`` is unique and not null. None makes every row a record of its
+    own, repeated rows included: rows are then written out with numbers first.
+    ``items`` is an array of text. Null arrays and items count for nothing, a repeated item once per record; records without items
     still count in the total that lift is taken from. lift = n_ab * total /
     (n_a * n_b); pairs below ``min_count`` or ``min_lift`` are left out.
 
@@ -79,8 +80,10 @@ def cooccurrence(df: DataFrame, row_id: str, items: str, min_count: int = 1, min
     are streamed by nested explodes, never held as one list of pairs.
     """
     spark = df.sparkSession
-    x = df.select(F.col(row_id).alias("__row"), F.array_distinct(F.filter(F.coalesce(F.col(items), F.array().cast("array<string>")), lambda t: t.isNotNull())).alias("__items"))
-    rows = df.count()
+    own = F.monotonically_increasing_id() if row_id is None else F.col(row_id)
+    x = df.select(own.alias("__row"), F.array_distinct(F.filter(F.coalesce(F.col(items), F.array().cast("array<string>")), lambda t: t.isNotNull())).alias("__items"))
+    x = cut(x) if row_id is None else x
+    rows = x.count()
     counts = cut(x.select(F.explode("__items").alias("item")).groupBy("item").agg(F.count(F.lit(1)).alias("n")))
     entries = counts.agg(F.sum("n")).first()[0] or 0
     lift_ok = F.lit(True) if min_lift is None else F.col("n") * min_lift <= rows
