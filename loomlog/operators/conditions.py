@@ -39,7 +39,7 @@ def first_matches(log: DataFrame, items: DataFrame, index: DataFrame | None = No
     gapless. The ranking keeps ``n`` rows of a request per partition before it
     shuffles, so a query that matches half the log moves little.
     """
-    idx = tag_index(log) if index is None else index
+    idx = tag_index(log) if index is None else index.select("tag", "position")
     need = F.broadcast(items.filter(F.size("tags") > 0).withColumn("need", F.size("tags")).withColumn("tag", F.explode("tags")).select("req", "item", "tag", "need", "after", "n"))
     hits = (
         idx.join(need, "tag")

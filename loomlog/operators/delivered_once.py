@@ -23,14 +23,14 @@ def keep_one(df: DataFrame, identifier: Column, order: list[str]) -> DataFrame:
     A hash aggregation with min_by over a struct: every task keeps one row per
     identifier before anything is shuffled, so a message that came a billion
     times moves once per task. ``order`` need not be total: rows that tie are
-    told apart by a hash of the whole row, equal rows are one. Column order and
-    types stay as they are.
+    told apart by a hash of the whole row, equal rows are one. Columns stay as
+    they are, whatever their names; nulls in ``order`` come first.
     """
-    cols = df.columns
-    named = df.withColumn("__id", identifier)
-    rank = F.struct(*[F.col(c) for c in order], F.xxhash64(*[F.col(f"`{c}`") for c in cols]))
-    one = named.filter("__id is not null").groupBy("__id").agg(F.min_by(F.struct(*[F.col(f"`{c}`") for c in cols]), rank).alias("__r"))
-    return one.select("__r.*").unionByName(named.filter("__id is null").select(cols))
+    has_map = any("map<" in t for _, t in df.dtypes)
+    whole = F.xxhash64(F.to_json(F.struct("*"))) if has_map else F.xxhash64("*")
+    packed = df.select(identifier.alias("id"), F.struct("*").alias("r"), F.struct(*[F.col(c) for c in order], whole).alias("k"))
+    one = packed.filter("id is not null").groupBy("id").agg(F.min_by("r", "k").alias("r"))
+    return one.select("r.*").unionByName(packed.filter("id is null").select("r.*"))
 
 
 def first_copies(df: DataFrame, identifiers: dict[str, Column], row_id: str, max_rounds: int = 60) -> DataFrame:
@@ -38,7 +38,8 @@ def first_copies(df: DataFrame, identifiers: dict[str, Column], row_id: str, max
 
     Returns ``row_id`` and ``first_id``, the least row id of its group, for
     every row with an identifier; a row without any is its own group and is
-    left out. Row ids must be unique and not null.
+    left out, as are rows with a null id, which nothing could name. A row id
+    that stands twice gives a row for each.
 
     Rows are first reduced, map-side, to distinct identifier combinations with
     their least row id. A combination whose identifiers stand nowhere else is
@@ -50,7 +51,7 @@ def first_copies(df: DataFrame, identifiers: dict[str, Column], row_id: str, max
     """
     names = list(identifiers)
     keyed = df.select(F.col(row_id).alias("__row"), *[F.coalesce(c, F.lit("")).alias(n) for n, c in identifiers.items()])
-    keyed = keyed.filter(reduce(lambda a, b: a | b, [F.col(n) != "" for n in names]))
+    keyed = keyed.filter("__row is not null").filter(reduce(lambda a, b: a | b, [F.col(n) != "" for n in names]))
     combos = cut(keyed.groupBy(*names).agg(F.min("__row").alias("first_id")))
     seen = combos.withColumn("__shared", F.lit(False))
     for n in names:

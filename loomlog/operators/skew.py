@@ -15,6 +15,8 @@ from dataclasses import dataclass
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from .tables import fresh
+
 BUCKETS_PER_TASK = 16
 
 
@@ -46,7 +48,7 @@ def plan(df: DataFrame, keys: list[str], tasks: int, share: float = 0.5) -> Plan
     there are at most ``tasks / share`` of them; it gets one shard per such
     load. Null keys are a key like any other.
     """
-    loads = df.groupBy(*keys).agg(F.count(F.lit(1)).alias("__n")).withColumn("__b", _bucket(keys, tasks * BUCKETS_PER_TASK))
+    loads = df.select(*keys).groupBy(*keys).agg(F.count(F.lit(1)).alias("__n")).withColumn("__b", _bucket(keys, tasks * BUCKETS_PER_TASK))
     by_bucket = loads.groupBy("__b").agg(F.sum("__n").alias("n"), F.max("__n").alias("top"))
     buckets = {r["__b"]: r["n"] for r in by_bucket.collect()}  # at most 16 a task
     rows = sum(buckets.values())
@@ -72,47 +74,55 @@ def plan(df: DataFrame, keys: list[str], tasks: int, share: float = 0.5) -> Plan
     return Plan(keys, tasks, rows, [(k, n, placed[k]) for k, n, _ in sorted(heavy, key=lambda h: -h[1])], bucket_task, load)
 
 
-def _heavy_frame(df: DataFrame, p: Plan) -> DataFrame:
-    fields = ", ".join(f"`__k{i}` {df.schema[k].dataType.simpleString()}" for i, k in enumerate(p.keys))
-    return df.sparkSession.createDataFrame([(*k, tasks) for k, _, tasks in p.heavy], f"{fields}, __tasks array<int>")
+def _with_heavy(df: DataFrame, p: Plan) -> tuple[DataFrame, str]:
+    """``df`` with the tasks of its heavy keys (null for light ones) in the column named."""
+    where = fresh(df, "__tasks")
+    names = [fresh(df, f"__key{i}") for i in range(len(p.keys))]
+    fields = ", ".join(f"`{n}` {df.schema[k].dataType.simpleString()}" for n, k in zip(names, p.keys, strict=True))
+    heavy = df.sparkSession.createDataFrame([(*k, tasks) for k, _, tasks in p.heavy], f"{fields}, `{where}` array<int>")
+    on = [F.col(k).eqNullSafe(F.col(n)) for n, k in zip(names, p.keys, strict=True)]
+    return df.join(F.broadcast(heavy), on, "left").drop(*names), where  # at most tasks / share rows
 
 
-def _on_keys(p: Plan) -> list[Column]:
-    return [F.col(k).eqNullSafe(F.col(f"__k{i}")) for i, k in enumerate(p.keys)]
+def _light(p: Plan) -> Column:
+    return F.element_at(F.array(*[F.lit(t) for t in p.bucket_task]), _bucket(p.keys, len(p.bucket_task)) + 1)
 
 
-def assign(df: DataFrame, p: Plan, salt: list[str]) -> DataFrame:
-    """Adds ``__task``; a heavy key's rows spread over its shards by a hash of ``salt``, the same in every attempt."""
-    light = F.element_at(F.array(*[F.lit(t) for t in p.bucket_task]), _bucket(p.keys, len(p.bucket_task)) + 1)
+def assign(df: DataFrame, p: Plan, salt: list[str], name: str = "__task") -> DataFrame:
+    """Adds ``name``, each row's task; a heavy key's rows spread over its shards by a hash of ``salt``, the same in every attempt."""
     if not p.heavy:
-        return df.withColumn("__task", light)
-    out = df.join(F.broadcast(_heavy_frame(df, p)), _on_keys(p), "left")  # at most tasks / share rows
-    shard = F.pmod(F.xxhash64(*[F.col(c) for c in salt], F.lit("shard")), F.size("__tasks")).cast("int")
-    task = F.when(F.col("__tasks").isNotNull(), F.element_at("__tasks", shard + 1)).otherwise(light)
-    return out.withColumn("__task", task).drop("__tasks", *[f"__k{i}" for i in range(len(p.keys))])
+        return df.withColumn(name, _light(p))
+    out, where = _with_heavy(df, p)
+    shard = F.pmod(F.xxhash64(*[F.col(c) for c in salt], F.lit("shard")), F.size(where)).cast("int")
+    task = F.when(F.col(where).isNotNull(), F.element_at(where, shard + 1)).otherwise(_light(p))
+    return out.withColumn(name, task).drop(where)
 
 
-def place(df: DataFrame, p: Plan, salt: list[str]) -> DataFrame:
+def place(df: DataFrame, p: Plan, salt: list[str], name: str = "__task") -> DataFrame:
     """``df`` with each row in the partition of its task, for per-task work of any kind."""
-    return assign(df, p, salt).repartitionById(p.tasks, F.col("__task"))
+    return assign(df, p, salt, name).repartitionById(p.tasks, F.col(name))
 
 
-def replicate(side: DataFrame, p: Plan) -> DataFrame:
+def replicate(side: DataFrame, p: Plan, name: str = "__task") -> DataFrame:
     """The matching side: a light key's rows go to its task, a heavy key's to the tasks of its shards only."""
-    light = F.array(F.element_at(F.array(*[F.lit(t) for t in p.bucket_task]), _bucket(p.keys, len(p.bucket_task)) + 1))
+    tasks, where = F.array(_light(p)), None
     if p.heavy:
-        side = side.join(F.broadcast(_heavy_frame(side, p)), _on_keys(p), "left")
-        light = F.coalesce(F.array_distinct("__tasks"), light)
-    return side.withColumn("__task", F.explode(light)).drop("__tasks", *[f"__k{i}" for i in range(len(p.keys))])
+        side, where = _with_heavy(side, p)
+        tasks = F.coalesce(F.array_distinct(where), tasks)
+    out = side.withColumn(name, F.explode(tasks))
+    return out.drop(where) if where else out
 
 
 def balanced_join(df: DataFrame, side: DataFrame, keys: list[str], salt: list[str], tasks: int, share: float = 0.5, p: Plan | None = None) -> DataFrame:
     """Inner join on ``keys`` (null keys match nothing) without hot tasks: by key and task.
 
-    Other columns of ``side`` must not clash with those of ``df``.
+    Other columns of ``side`` that ``df`` has too get the suffix ``_side``.
     """
     p = p or plan(df, keys, tasks, share)
-    return assign(df, p, salt).join(replicate(side, p).hint("shuffle_merge"), [*keys, "__task"]).drop("__task")
+    have = {c.lower() for c in df.columns}
+    side = side.select(*[F.col(f"`{c}`").alias(c if c in keys or c.lower() not in have else f"{c}_side") for c in side.columns])
+    task = fresh(side, fresh(df, "__task"))
+    return assign(df, p, salt, task).join(replicate(side, p, task).hint("shuffle_merge"), [*keys, task]).drop(task)
 
 
 def balanced_aggregate(df: DataFrame, keys: list[str], salt: list[str], partial: dict[str, Column], merge: dict[str, Column], tasks: int, p: Plan | None = None) -> DataFrame:
@@ -122,7 +132,8 @@ def balanced_aggregate(df: DataFrame, keys: list[str], salt: list[str], partial:
     ``shards``, over how many tasks the key was spread.
     """
     p = p or plan(df, keys, tasks)
-    parts = assign(df, p, salt).groupBy(*keys, "__task").agg(*[c.alias(n) for n, c in partial.items()])
+    task = fresh(df, "__task")
+    parts = assign(df, p, salt, task).groupBy(*keys, task).agg(*[c.alias(n) for n, c in partial.items()])
     return parts.groupBy(*keys).agg(*[c.alias(n) for n, c in merge.items()], F.count(F.lit(1)).alias("shards"))
 
 

@@ -43,8 +43,16 @@ def release(spark: SparkSession) -> None:
     path.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(path, True)
 
 
-def chunked(df: DataFrame, by: list[Column], chunks: int | None = None) -> DataFrame:
-    """``df`` cut into range chunks along ``by``, as a written table with a column ``__chunk``.
+def fresh(df: DataFrame, name: str) -> str:
+    """``name``, with underscores behind it until ``df`` has no such column."""
+    have = {c.lower() for c in df.columns}
+    while name.lower() in have:
+        name += "_"
+    return name
+
+
+def chunked(df: DataFrame, by: list[Column], chunks: int | None = None, name: str = "__chunk") -> DataFrame:
+    """``df`` cut into range chunks along ``by``, as a written table with a column ``name``.
 
     Chunks follow the order of ``by`` and hold about equally many rows, however
     the leading columns are skewed. The table is written, so that every use
@@ -52,7 +60,7 @@ def chunked(df: DataFrame, by: list[Column], chunks: int | None = None) -> DataF
     """
     spark = df.sparkSession
     n = chunks or int(spark.conf.get("spark.sql.shuffle.partitions"))
-    return cut(df.repartitionByRange(n, *by).withColumn("__chunk", F.spark_partition_id()))
+    return cut(df.repartitionByRange(n, *by).withColumn(name, F.spark_partition_id()))
 
 
 def global_rank(df: DataFrame, by: list[Column], name: str = "seq", start: int = 0, chunks: int | None = None) -> DataFrame:
@@ -61,18 +69,18 @@ def global_rank(df: DataFrame, by: list[Column], name: str = "seq", start: int =
     Rows are range-partitioned, counted per chunk, and ranked inside the chunk;
     only one count per chunk meets on the driver's side of the plan. ``by``
     should be total: rows that tie may get each other's number, and equal
-    values all fall into one chunk.
+    values all fall into one chunk. A column called ``name`` is replaced.
     """
-    t = chunked(df, by, chunks)
-    per = t.groupBy("__chunk").agg(F.count(F.lit(1)).alias("__n"))
-    before = F.sum("__n").over(W.orderBy("__chunk").rowsBetween(W.unboundedPreceding, -1))  # one row a chunk
-    offsets = per.select("__chunk", F.coalesce(before, F.lit(0)).alias("__before"))
-    inside = F.row_number().over(W.partitionBy("__chunk").orderBy(*by))
+    chunk, within, before = (fresh(df, c) for c in ("__chunk", "__in", "__before"))
+    t = chunked(df, by, chunks, chunk)
+    per = t.groupBy(chunk).agg(F.count(F.lit(1)).alias("n"))
+    so_far = F.sum("n").over(W.orderBy(chunk).rowsBetween(W.unboundedPreceding, -1))  # one row a chunk
+    offsets = per.select(chunk, F.coalesce(so_far, F.lit(0)).alias(before))
     return (
-        t.withColumn("__in", inside)
-        .join(F.broadcast(offsets), "__chunk")  # as many rows as chunks
-        .withColumn(name, F.col("__in") + F.col("__before") + F.lit(start))
-        .drop("__chunk", "__in", "__before")
+        t.withColumn(within, F.row_number().over(W.partitionBy(chunk).orderBy(*by)))
+        .join(F.broadcast(offsets), chunk)  # as many rows as chunks
+        .withColumn(name, F.col(within) + F.col(before) + F.lit(start))
+        .drop(chunk, within, before)
     )
 
 
@@ -87,9 +95,8 @@ def range_lookup(df: DataFrame, point: str, ranges: DataFrame, first: str, last:
     s = ranges.agg(F.count(F.lit(1)), F.min(first), F.max(last)).first()
     n, lo, hi = s[0], s[1] or 0, s[2] or 0
     width = max(1, (hi - lo + 1) // max(1, 4 * n))
-    bucket = F.expr(f"({point} - {lo}L) div {width}L")
-    r = ranges.withColumn("__b", F.explode(F.expr(f"sequence(({first} - {lo}L) div {width}L, ({last} - {lo}L) div {width}L)")))
+    b = fresh(df, "__bucket")
+    bucket = lambda c: F.expr(f"(`{c}` - {lo}L) div {width}L")
+    r = ranges.withColumn(b, F.explode(F.sequence(bucket(first), bucket(last))))
     r = F.broadcast(r) if n * 6 <= broadcast_rows else r
-    return (
-        df.filter(F.col(point).isNotNull()).withColumn("__b", bucket).join(r, "__b").filter(F.col(point).between(F.col(first), F.col(last))).drop("__b")
-    )
+    return df.filter(F.col(point).isNotNull()).withColumn(b, bucket(point)).join(r, b).filter(F.col(point).between(F.col(first), F.col(last))).drop(b)

@@ -10,6 +10,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from ..model import Query
+from ..operators.tables import fresh
 from .compiler import bounds_column, is_match_all, query_column
 
 
@@ -60,8 +61,9 @@ def index_plan(log: DataFrame, index: DataFrame, query: Query, start: int | None
     hits = index_hits(index, query, start, backwards)
     typed = [(qi, t) for qi, i in enumerate(query.items) for t in set(i.types)]
     free = [qi for qi, i in enumerate(query.items) if not i.types]
-    per_event = hits.groupBy("position").agg(F.collect_set("qi").alias("__qis"))  # at most one entry per item
-    ok = F.arrays_overlap("__qis", F.array(*[F.lit(x) for x in free]).cast("array<int>")) if free else F.lit(False)
+    qis = fresh(log, "__items")
+    per_event = hits.groupBy("position").agg(F.collect_set("qi").alias(qis))  # at most one entry per item
+    ok = F.arrays_overlap(qis, F.array(*[F.lit(x) for x in free]).cast("array<int>")) if free else F.lit(False)
     for qi in sorted({qi for qi, _ in typed}):
-        ok = ok | (F.array_contains("__qis", qi) & F.col("event_type").isin(sorted(t for q, t in typed if q == qi)))
-    return log.filter(bounds_column(start, backwards)).join(per_event, "position").filter(ok).drop("__qis")
+        ok = ok | (F.array_contains(qis, qi) & F.col("event_type").isin(sorted(t for q, t in typed if q == qi)))
+    return log.filter(bounds_column(start, backwards)).join(per_event, "position").filter(ok).drop(qis)
