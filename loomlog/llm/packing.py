@@ -99,9 +99,9 @@ def _pack_groups(items: DataFrame, groups: int, capacity: int, seed: int) -> Dat
     grp = F.pmod(F.xxhash64("doc_id", "piece", F.lit(seed)), F.lit(groups)).cast("bigint")
 
     def one(t: pa.Table) -> pa.Table:
-        doc, piece, size = (t.column(c).to_numpy() for c in ("doc_id", "piece", "tokens"))
-        order = np.lexsort((piece, doc, -size))
-        doc, piece, size = doc[order], piece[order], size[order].astype(np.int64)
+        t = t.sort_by([("tokens", "descending"), ("doc_id", "ascending"), ("piece", "ascending")])
+        doc, piece = (t.column(c).combine_chunks() for c in ("doc_id", "piece"))
+        size = t.column("tokens").to_numpy().astype(np.int64)
         bins = best_fit(size, capacity)
         fill = np.bincount(bins, weights=size).astype(np.int64)
         n = len(size)
