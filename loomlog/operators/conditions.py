@@ -1,8 +1,8 @@
 """Append conditions: which requests does a snapshot forbid, and which are retries?
 
-All of a batch's conditions are tested in one pass over the snapshot. The
-requests are the caller's batch, held by the driver anyway, and are the
-broadcast side; the log is never shuffled whole.
+A batch of requests, held by the driver anyway, is tested in one pass over the
+snapshot and is the broadcast side. Conditions given as a table, as many as
+the log if need be, meet it in an as-of join.
 """
 
 from __future__ import annotations
@@ -14,6 +14,7 @@ from pyspark.sql.window import Window as W
 from ..model import MAX_POSITION, AppendRequest
 from ..plans.access import tag_index
 from ..plans.compiler import is_match_all
+from .tables import chunked
 
 ITEM_SCHEMA = "req int, item int, types array<string>, tags array<string>, after bigint, n int"
 
@@ -66,31 +67,57 @@ def first_matches(log: DataFrame, items: DataFrame, index: DataFrame | None = No
     return ranked.filter(F.col("rank") <= F.col("n")).select("req", "rank", "position", "uuid")
 
 
+def next_match(events: DataFrame, asks: DataFrame) -> DataFrame:
+    """(req, p): for each ask (req, key, after) the least event position of its key beyond ``after``.
+
+    An as-of join: events and asks are put in one order, positions falling, and
+    a running minimum of the events is read off at each ask. It runs over range
+    chunks of (key, position) with chunk minima carried over, so neither a key
+    that half the events have nor one that many ask for makes a large task, and
+    the work grows with events plus asks, not with their product.
+    """
+    both = events.select("key", F.col("position").alias("at"), F.lit(None).cast(asks.schema["req"].dataType).alias("req"), F.lit(1).alias("kind")).unionByName(
+        asks.select("key", F.col("after").alias("at"), "req", F.lit(0).alias("kind"))
+    )
+    t = chunked(both, [F.col("key"), F.col("at").desc(), F.col("kind")])
+    event = F.when(F.col("kind") == 1, F.col("at"))
+    inside = W.partitionBy("key", "__chunk").orderBy(F.col("at").desc(), "kind").rowsBetween(W.unboundedPreceding, 0)
+    least = t.groupBy("key", "__chunk").agg(F.min(event).alias("m"))
+    over = W.partitionBy("key").orderBy("__chunk").rowsBetween(W.unboundedPreceding, -1)  # a row per key and chunk
+    carry = least.select("key", "__chunk", F.min("m").over(over).alias("carry"))
+    return t.withColumn("m", F.min(event).over(inside)).join(carry, ["key", "__chunk"]).filter("kind = 0").select("req", F.least("m", "carry").alias("p"))
+
+
 def check_conditions(log: DataFrame, conditions: DataFrame) -> DataFrame:
     """Many simple conditions against one snapshot, as rows: (req, tag, event_type, after) in, verdicts out.
 
     A null tag or type is no demand; a null ``after`` looks at the whole log.
-    Out: ``req``, ``violated``, ``first_match`` (null if none). Conditions may
-    be as many as the log: the match is an equi-join on tag (on type where
-    there is no tag), and the first match is a map-side minimum.
+    Out: ``req``, ``violated``, ``first_match`` (null if none), a row for each
+    condition. Conditions may be as many as the log. Those with a tag, a type,
+    or both meet the events in one as-of join on that key; only the forms of
+    key that occur among the conditions are made of the events. Conditions
+    without any demand need nothing but the next position.
     """
     after = F.least(F.coalesce(F.col("after"), F.lit(-1)), F.lit(MAX_POSITION - 1))
-    c = conditions.select("req", F.col("tag").alias("__tag"), F.col("event_type").alias("__type"), after.alias("__after"))
-    tags = log.select("position", "event_type", F.explode(F.array_distinct("tags")).alias("__tag"))
-    ok = (F.col("position") > F.col("__after")) & (F.col("__type").isNull() | (F.col("__type") == F.col("event_type")))
-    by_tag = tags.join(c.filter("__tag is not null"), "__tag").filter(ok).groupBy("req").agg(F.min("position").alias("p"))
-    lone = c.filter("__tag is null")
-    types = log.select("position", F.col("event_type").alias("__type"))
-    by_type = types.join(lone.filter("__type is not null"), "__type").filter(F.col("position") > F.col("__after")).groupBy("req").agg(F.min("position").alias("p"))
-    head = F.broadcast(log.agg(F.max("position").alias("__head")))  # one row
-    first = F.greatest(F.col("__after") + 1, F.lit(1))
-    any_event = lone.filter("__type is null").crossJoin(head).filter(first <= F.col("__head")).select("req", first.alias("p"))
-    found = by_tag.unionByName(by_type).unionByName(any_event)
-    return (
-        c.select("req")
-        .join(found, "req", "left")
-        .select("req", F.col("p").isNotNull().alias("violated"), F.col("p").alias("first_match"))
-    )
+    asked = conditions.select("req", F.col("tag").alias("t"), F.col("event_type").alias("e"), after.alias("after"))
+    forms = {(r["t"], r["e"]) for r in asked.select(F.col("t").isNotNull().alias("t"), F.col("e").isNotNull().alias("e")).distinct().collect()}  # at most four
+    shape = lambda t, e: F.struct(t.cast("string").alias("t"), e.cast("string").alias("e"))
+    none = F.lit(None)
+    per_event = []
+    if (False, True) in forms:
+        per_event.append(F.array(shape(none, F.col("event_type"))))
+    tags = F.filter(F.array_distinct(F.coalesce("tags", F.array().cast("array<string>"))), lambda t: t.isNotNull())
+    if (True, False) in forms:
+        per_event.append(F.transform(tags, lambda t: shape(t, none)))
+    if (True, True) in forms:
+        per_event.append(F.transform(tags, lambda t: shape(t, F.col("event_type"))))
+    head = F.broadcast(log.agg(F.max("position").alias("head")))  # one row
+    step = F.greatest(F.col("after") + 1, F.lit(1))
+    found = asked.filter("t is null and e is null").crossJoin(head).select("req", F.when(step <= F.col("head"), step).alias("p"))
+    if per_event:
+        wanted = asked.filter("t is not null or e is not null").select("req", shape(F.col("t"), F.col("e")).alias("key"), "after")
+        found = found.unionByName(next_match(log.select("position", F.explode(F.concat(*per_event)).alias("key")), wanted))
+    return found.select("req", F.col("p").isNotNull().alias("violated"), F.col("p").alias("first_match"))
 
 
 def idempotent_matches(first: DataFrame, submitted: DataFrame) -> DataFrame:
@@ -112,8 +139,6 @@ def assign_tracking(requests: DataFrame) -> DataFrame:
     so this equals the serial rule. Rows of one source are cut into chunks by
     sequence; chunk maxima are carried over, so no source fills one task.
     """
-    from .tables import chunked
-
     t = chunked(requests, [F.col("source"), F.col("seq")])
     inside = W.partitionBy("source", "__chunk").orderBy("seq").rowsBetween(W.unboundedPreceding, -1)
     carry = t.groupBy("source", "__chunk").agg(F.max("position").alias("__m"))

@@ -143,12 +143,25 @@ class EventStore:
         return df.groupBy("source").agg(F.max("position").alias("position"))
 
     def read(self, query: Query | None = None, start: int | None = None, backwards: bool = False, limit: int | None = None, snapshot: Snapshot | None = None, path: str | None = None) -> ReadResponse:
-        """A read on one snapshot; files outside the position bound aren't opened."""
+        """A read on one snapshot; files outside the position bound aren't opened.
+
+        A limited read opens the files from its start on, four times as many
+        each time, until they hold enough matches; the rest stay closed.
+        """
         s = snapshot or self.snapshot()
         bound = None if start is None else min(start, MAX_POSITION)
-        log = self.log(s, first=None if backwards else bound, last=bound if backwards else None)
-        out = read(log, query, start, backwards, limit, index=self.index(s), path=path)
-        return ReadResponse(out, lambda: s.head or None, limit)
+        low, high = (None, bound) if backwards else (bound, None)
+        files = sorted((f for f in s.log if (low is None or f["last"] >= low) and (high is None or f["first"] <= high)), key=lambda f: f["first"], reverse=backwards)
+        k = 1 if limit else len(files)
+        while True:
+            part = files[:k]
+            ends = (min(f["first"] for f in part), max(f["last"] for f in part)) if part else (None, None)
+            log = self.log(s, *ends) if part else self._empty(LOG_SCHEMA)
+            log = log.filter(F.col("position").between(*ends)) if part else log
+            out = read(log, query, start, backwards, limit, index=self.index(s), path=path)
+            if k >= len(files) or out.count() >= limit:
+                return ReadResponse(out, lambda: s.head or None, limit)
+            k *= 4
 
     def read_with_head(self, query: Query | None = None, start: int | None = None, backwards: bool = False, limit: int | None = None):
         return self.read(query, start, backwards, limit).collect_with_head()

@@ -42,19 +42,27 @@ class _Files:
             return json.loads(f.read())
 
 
+    def parts(self, folder: str) -> list[str]:
+        import pyarrow.fs as pafs
+
+        infos = self.fs.get_file_info(pafs.FileSelector(f"{self.root}/{folder}"))
+        return [f"{folder}/{i.base_name}" for i in infos if i.base_name.endswith(".parquet")]
+
+
 class Span(InputPartition):
     def __init__(self, path: str, first: int, last: int):
         self.path, self.first, self.last = path, first, last
 
 
 class LogStreamReader(DataSourceStreamReader):
-    """Offsets are positions; the latest one is the manifest's head, so a batch never passes a commit."""
+    """Offsets are positions; the latest one is the manifest's head, so a batch never passes a commit.
+
+    A batch has a task per Parquet file that may hold its positions.
+    """
 
     def __init__(self, options: dict):
         self.root = options["path"]
         self.after = int(options.get("after", 0))
-        self.most = int(options.get("maxpositionsperbatch", 0))
-        self.seen = self.after
 
     def initialOffset(self) -> dict:
         return {"position": self.after}
@@ -65,10 +73,11 @@ class LogStreamReader(DataSourceStreamReader):
 
     def partitions(self, start: dict, end: dict) -> list[Span]:
         first, last = start["position"] + 1, end["position"]
+        files = _Files(self.root)
         spans = []
-        for f in _Files(self.root).manifest()["log"]:
+        for f in files.manifest()["log"]:
             if f["last"] >= first and f["first"] <= last:
-                spans.append(Span(f["path"], max(first, f["first"]), min(last, f["last"])))
+                spans += [Span(p, max(first, f["first"]), min(last, f["last"])) for p in files.parts(f["path"])]
         return spans or [Span("", 1, 0)]
 
     def read(self, partition: Span) -> Iterator:

@@ -9,6 +9,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from loomlog.model import LOG_SCHEMA
+from loomlog.operators import conditions as C
 from loomlog.operators import delivered_once as D
 from loomlog.operators import drift, incremental, skew
 from loomlog.operators.tables import global_rank, range_lookup
@@ -52,6 +53,36 @@ def test_range_lookup(spark, most):
     assert range_lookup(df, "p", ranges.limit(0), "f", "l").count() == 0
 
 
+# Conditions
+
+
+def test_check_conditions(spark):
+    rng = random.Random(11)
+    events = [event(i + 1, rng.choice(["A", "B", None]), rng.choice([None, ["x"], ["x", "y", "x"], ["z", None]])) for i in range(120)]
+    asks = [(k, rng.choice([None, "x", "y", "q"]), rng.choice([None, "A", "B", "Q"]), rng.choice([None, 0, 5, 60, 119, 120, 2**63 - 1])) for k in range(150)]
+    log = log_of(spark, events).withColumn("key", F.lit("clash"))
+    c = spark.createDataFrame(asks, "req int, tag string, event_type string, after bigint")
+    got = {r["req"]: (r["violated"], r["first_match"]) for r in C.check_conditions(log, c).collect()}
+    for req, tag, kind, after in asks:
+        hits = [e[0] for e in events if (after is None or e[0] > after) and (tag is None or tag in (e[2] or [])) and (kind is None or kind == e[1])]
+        assert got[req] == (bool(hits), min(hits, default=None)), (req, tag, kind, after)
+    assert len(got) == len(asks)
+    assert C.check_conditions(log.limit(0), c).filter("violated").count() == 0
+    assert C.check_conditions(log, c.limit(0)).count() == 0
+
+
+def test_assign_tracking(spark):
+    rng = random.Random(12)
+    rows = [(k, rng.choice("aab"), rng.randrange(50)) for k in range(200)]
+    top, want = {}, {}
+    for k, s, p in rows:
+        want[k] = s in top and p <= top[s]
+        if not want[k]:
+            top[s] = p
+    df = spark.createDataFrame(rows, "seq bigint, source string, position bigint")
+    assert {r["seq"]: r["violates"] for r in C.assign_tracking(df).collect()} == want
+
+
 # Delivered once
 
 
