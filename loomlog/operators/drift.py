@@ -63,11 +63,13 @@ def _objects(events: DataFrame) -> DataFrame:
     return events.withColumn("doc", F.when(F.ltrim(F.col("text"), F.lit(" \t\r\n")).startswith("{"), doc))
 
 
-def _payload_values(events: DataFrame, keep: list[str]) -> DataFrame:
-    """One row per payload field that isn't null: ``keep``, field, kind, value."""
-    out = events.lateralJoin(events.sparkSession.tvf.variant_explode(F.col("doc").outer()))
-    out = out.select(*keep, F.concat(F.lit("data."), F.col("key")).alias("field"), _kind(F.schema_of_variant("value")).alias("kind"), "value")
-    return out.filter("kind is not null")
+ENTRY = "array<struct<field:string,kind:string>>"
+
+
+def _values() -> Column:
+    """The payload's fields as (field, kind, value) structs; null values have a null kind. Null if ``doc`` is."""
+    entries = F.map_entries(F.expr("try_variant_get(doc, '$', 'map<string,variant>')"))
+    return F.transform(entries, lambda x: F.struct(F.concat(F.lit("data."), x["key"]).alias("field"), _kind(F.schema_of_variant(x["value"])).alias("kind"), x["value"].alias("value")))
 
 
 def field_counts(events: DataFrame) -> DataFrame:
@@ -81,13 +83,15 @@ def field_counts(events: DataFrame) -> DataFrame:
     o = _objects(events).select(*at, "doc", "metadata")
     meta = F.array_distinct(F.transform(F.coalesce("metadata", F.array().cast("array<struct<key:string,value:string>>")), lambda m: m["key"]))
     pair = lambda f, k: F.struct(f.alias("field"), k.alias("kind"))
-    fixed = F.concat(
+    empty = F.array().cast(ENTRY)
+    every = F.concat(
         F.array(pair(F.lit(""), F.lit("events"))),
-        F.when(F.col("doc").isNotNull(), F.array(pair(F.lit(""), F.lit("readable")))).otherwise(F.array().cast("array<struct<field:string,kind:string>>")),
+        F.when(F.col("doc").isNotNull(), F.array(pair(F.lit(""), F.lit("readable")))).otherwise(empty),
         F.transform(F.filter(meta, lambda k: k.isNotNull()), lambda k: pair(F.concat(F.lit("metadata."), k), F.lit("text"))),
+        F.coalesce(F.transform(_values(), lambda x: pair(x["field"], x["kind"])), empty),
     )
-    rest = o.select(*at, F.explode(fixed).alias("x")).select(*at, "x.field", "x.kind")
-    return rest.unionByName(_payload_values(o, at).drop("value")).groupBy(*at, "field", "kind").agg(F.count(F.lit(1)).alias("n"))
+    rows = o.select(*at, F.explode(every).alias("x")).select(*at, "x.field", "x.kind").filter("kind is not null")
+    return rows.groupBy(*at, "field", "kind").agg(F.count(F.lit(1)).alias("n"))
 
 
 def schemas(counts: DataFrame) -> DataFrame:
@@ -172,9 +176,11 @@ def value_form(text: str | None, kind: str) -> str:
 def value_rows(events: DataFrame, at: list[str]) -> DataFrame:
     """Every payload and metadata value as (at..., field, kind, value text)."""
     o = _objects(events)
-    data = _payload_values(o.select(*at, "doc"), at).withColumn("value", F.col("value").cast("string"))
-    meta = events.select(*at, F.explode("metadata").alias("m")).select(*at, F.concat(F.lit("metadata."), F.col("m.key")).alias("field"), F.lit("text").alias("kind"), F.col("m.value").alias("value"))
-    return data.unionByName(meta.filter("field is not null and value is not null"))
+    text = F.transform(_values(), lambda x: F.struct(x["field"].alias("field"), x["kind"].alias("kind"), x["value"].cast("string").alias("value")))
+    meta = F.transform("metadata", lambda m: F.struct(F.concat(F.lit("metadata."), m["key"]).alias("field"), F.lit("text").alias("kind"), m["value"].alias("value")))
+    empty = F.array().cast("array<struct<field:string,kind:string,value:string>>")
+    rows = o.select(*at, F.explode(F.concat(F.coalesce(text, empty), F.coalesce(meta, empty))).alias("x")).select(*at, "x.*")
+    return rows.filter("field is not null and kind is not null and value is not null")
 
 
 def profiles(values: DataFrame, at: list[str]) -> DataFrame:
