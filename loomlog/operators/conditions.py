@@ -32,16 +32,18 @@ def request_items(spark, requests: list[AppendRequest]) -> DataFrame:
     return spark.createDataFrame(rows, ITEM_SCHEMA)
 
 
-def first_matches(log: DataFrame, items: DataFrame, index: DataFrame | None = None) -> DataFrame:
+def first_matches(log: DataFrame, items: DataFrame, index: DataFrame | None = None, small: bool = True) -> DataFrame:
     """(req, rank, position, uuid): the first ``n`` events after ``after`` that each request's query matches.
 
     Tagged items go by relational division on the tag index; items with types
     only join on the type; match-all items need only positions, which are
     gapless. The ranking keeps ``n`` rows of a request per partition before it
-    shuffles, so a query that matches half the log moves little.
+    shuffles, so a query that matches half the log moves little. ``small``
+    allows the items to be broadcast; EventStore sets it by their number.
     """
+    hint = F.broadcast if small else lambda df: df
     idx = tag_index(log) if index is None else index.select("tag", "position")
-    need = F.broadcast(items.filter(F.size("tags") > 0).withColumn("need", F.size("tags")).withColumn("tag", F.explode("tags")).select("req", "item", "tag", "need", "after", "n"))
+    need = hint(items.filter(F.size("tags") > 0).withColumn("need", F.size("tags")).withColumn("tag", F.explode("tags")).select("req", "item", "tag", "need", "after", "n"))
     hits = (
         idx.join(need, "tag")
         .filter(F.col("position") > F.col("after"))
@@ -50,16 +52,16 @@ def first_matches(log: DataFrame, items: DataFrame, index: DataFrame | None = No
         .filter("got = need")
         .select("req", "item", "position", "n")
     )
-    types = F.broadcast(items.select("req", "item", "types"))
+    types = hint(items.select("req", "item", "types"))
     core = log.select("position", "event_type", "uuid")
     tagged = hits.join(core, "position").join(types, ["req", "item"]).filter((F.size("types") == 0) | F.array_contains("types", F.col("event_type")))
-    by_type = F.broadcast(
+    by_type = hint(
         items.filter((F.size("tags") == 0) & (F.size("types") > 0)).withColumn("event_type", F.explode("types")).select("req", "event_type", "after", "n")
     )
     typed = core.join(by_type, "event_type").filter(F.col("position") > F.col("after"))
     free = items.filter((F.size("tags") == 0) & (F.size("types") == 0)).withColumn("from", F.greatest(F.col("after"), F.lit(0)))
     wanted = free.select("req", "n", F.explode(F.expr("sequence(`from` + 1, `from` + n)")).alias("position"))
-    everything = core.join(F.broadcast(wanted), "position")
+    everything = core.join(hint(wanted), "position")
     cols = ["req", "n", "position", "uuid"]
     # A request's items may meet the same event: keep one row of each.
     both = tagged.select(cols).unionByName(typed.select(cols)).unionByName(everything.select(cols)).dropDuplicates(["req", "position"])
@@ -146,7 +148,7 @@ def assign_tracking(requests: DataFrame) -> DataFrame:
     carry = carry.select("source", "__chunk", F.max("__m").over(over).alias("__carry"))
     before = F.greatest(F.max("position").over(inside), F.col("__carry"))
     return (
-        t.join(F.broadcast(carry), ["source", "__chunk"])
+        t.join(carry, ["source", "__chunk"])
         .withColumn("violates", F.coalesce(F.col("position") <= before, F.lit(False)))
         .drop("__chunk", "__carry")
     )

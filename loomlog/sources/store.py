@@ -29,6 +29,7 @@ from ..plans.access import tag_index
 from ..plans.compiler import matches
 
 SOURCE_BUCKETS = 16
+SMALL_BATCH = 200_000  # query parts and events of a batch whose conditions may be broadcast
 
 
 @dataclass
@@ -210,7 +211,8 @@ class EventStore:
         found: dict[int, list[tuple[int, str | None]]] = {}
         if s.head and any(r.condition for r in requests):
             log = self.log(s)
-            for row in C.first_matches(log, C.request_items(self.spark, requests), self.index(s)).collect():  # at most a row per submitted event
+            small = sum(len(i.tags) + len(i.types) + len(r.events) + 1 for r in requests if r.condition for i in r.condition.fail_if_events_match.items) <= SMALL_BATCH
+            for row in C.first_matches(log, C.request_items(self.spark, requests), self.index(s), small).collect():  # at most a row per submitted event
                 found.setdefault(row["req"], []).append((row["rank"], row["position"], row["uuid"]))
         sources = sorted({r.tracking_info.source for r in requests if r.tracking_info})
         tracked = {r["source"]: r["position"] for r in self.tracking(s).filter(F.col("source").isin(sources)).collect()} if sources else {}
