@@ -195,17 +195,21 @@ def find_leaks(docs: DataFrame, items: DataFrame, doc_id: str = "doc_id", text:
     spans two parts. Null or empty texts and items with fewer words than
     ``size`` have no rows; repeated document ids are reported as one. Documents
     are never shuffled: the items go to every task. They are read in passes of
-    at most 4,096 items and 2^20 words, so what a task holds has a fixed bound.
+    at most 4,096 items and 2^20 words, so what a task holds has a fixed bound;
+    an item longer than that is cut into stretches that overlap by ``size`` - 1
+    words, which loses no window (only ``longest_run`` may then be shorter).
     """
     tasks = docs.select(F.col(doc_id).cast("bigint").alias("doc_id"), F.col(text).alias("text"))
     passes, held, size_held = [], [], 0
     for r in items.select(F.col(item_id).cast("bigint").alias("i"), F.col(item_text).alias("t")).filter("i is not null and t is not null").toLocalIterator():
-        n = len(r["t"].split()) + 1
-        if held and (len(held) >= ITEMS_PER_PASS or size_held + n > WORDS_PER_PASS):
-            passes.append(held)
-            held, size_held = [], 0
-        held.append((r["i"], r["t"]))
-        size_held += n
+        ws = words(r["t"])
+        for lo in range(0, max(1, len(ws) - size + 1), WORDS_PER_PASS // 2):
+            stretch = ws[lo : lo + WORDS_PER_PASS // 2 + size - 1]
+            if held and (len(held) >= ITEMS_PER_PASS or size_held + len(stretch) > WORDS_PER_PASS):
+                passes.append(held)
+                held, size_held = [], 0
+            held.append((r["i"], " ".join(stretch)))
+            size_held += len(stretch)
     passes.append(held)
     out = None
     for group in passes:
