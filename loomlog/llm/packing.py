@@ -95,6 +95,47 @@ def best_fit(sizes: np.ndarray, capacity: int) -> np.ndarray:
     return out
 
 
+def best_set_fit(sizes: np.ndarray, capacity: int) -> np.ndarray:
+    """The bin of each size, as ``best_fit``, but a bin takes the best-fitting set at once.
+
+    A bin opens with the largest size left; of the rest the set that fills its
+    room best is found by subset sums, kept as the bits of one integer per
+    distinct size, and given up as soon as one fills it wholly. ``sizes`` must
+    fall. Work is bins times distinct sizes, for the few items of an exchange.
+    """
+    out = np.full(len(sizes), -1, np.int64)
+    waiting: dict[int, list[int]] = {}
+    for k in range(len(sizes) - 1, -1, -1):
+        waiting.setdefault(int(sizes[k]), []).append(k)
+    order = sorted(waiting, reverse=True)
+    b = 0
+    while order:
+        top = order[0]
+        out[waiting[top].pop()] = b
+        room = capacity - top
+        full, reach, steps = (1 << (room + 1)) - 1, 1, []
+        for s in order:
+            many = min(len(waiting[s]), room // s) if 0 < s <= room else 0
+            if many:
+                before = reach
+                for _ in range(many):
+                    reach |= (reach << s) & full
+                steps.append((s, before))
+                if reach >> room & 1:
+                    break
+        left = reach.bit_length() - 1
+        for s, before in reversed(steps):
+            while not before >> left & 1:
+                out[waiting[s].pop()] = b
+                left -= s
+        order = [s for s in order if waiting[s]]
+        if order and order[0] == 0:  # sizes of 0 need no room
+            out[out < 0] = b
+            break
+        b += 1
+    return out
+
+
 def _pack_groups(items: DataFrame, groups: int, capacity: int, seed: int) -> DataFrame:
     grp = F.pmod(F.xxhash64("doc_id", "piece", F.lit(seed)), F.lit(groups)).cast("bigint")
 
@@ -102,7 +143,7 @@ def _pack_groups(items: DataFrame, groups: int, capacity: int, seed: int) -> Dat
         t = t.sort_by([("tokens", "descending"), ("doc_id", "ascending"), ("piece", "ascending")])
         doc, piece = (t.column(c).combine_chunks() for c in ("doc_id", "piece"))
         size = t.column("tokens").to_numpy().astype(np.int64)
-        bins = best_fit(size, capacity)
+        bins = (best_set_fit if seed else best_fit)(size, capacity)
         fill = np.bincount(bins, weights=size).astype(np.int64)
         n = len(size)
         cols = [doc, piece, size, np.full(n, t.column("grp")[0].as_py()), bins, fill[bins], np.full(n, len(fill)), np.full(n, max(1, lower_bound(size, capacity)))]
@@ -120,8 +161,8 @@ def pack(items: DataFrame, capacity: int = 2048, per_group: int = 20_000, rounds
     no packing of it is better. Of the other groups, and of the one or two
     poorly filled last bins of every group, the bins below ``tight`` are
     opened again; their items are exchanged, hashed into new groups across old
-    borders, and packed anew, up to ``rounds`` times. The rest left after that
-    is packed as it is; a round that doesn't save a bin is not taken. Sizes
+    borders, and packed anew, each bin now taking the best-fitting set, up to
+    ``rounds`` times. A round that can't save a bin is not begun. Sizes
     above the capacity must have been cut; sizes of 0 go where room is. Null
     ids are hashed like any other. Nothing but group statistics is collected.
     """
