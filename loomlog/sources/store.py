@@ -14,6 +14,7 @@ import time
 import uuid
 from collections.abc import Iterable
 from dataclasses import dataclass, field
+from typing import TYPE_CHECKING
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -28,6 +29,9 @@ from ..operators.validate import check_event, check_tracking, error_column
 from ..plans.access import tag_index
 from ..plans.compiler import matches
 
+if TYPE_CHECKING:
+    from ..streaming.subscribe import Subscription
+
 SOURCE_BUCKETS = 16
 SMALL_BATCH = 200_000  # query parts and events of a batch whose conditions may be broadcast
 
@@ -180,6 +184,27 @@ class EventStore:
 
         return subscribe(self.spark, self.root, query, after)
 
+    def follow(self, query: Query | None = None, after: int | None = None, batch: int = 1024) -> Subscription:
+        """An ordered iterator in the driver over the matching events beyond ``after``, without an end."""
+        from ..streaming.subscribe import Subscription
+
+        return Subscription(self, query, after, batch)
+
+    def view(self, name: str) -> DataFrame:
+        """Registers the newest snapshot as a temporary view for SQL."""
+        log = self.log()
+        log.createOrReplaceTempView(name)
+        return log
+
+    def close(self) -> None:
+        """Nothing is held open; here so that a store can stand in a with statement."""
+
+    def __enter__(self) -> EventStore:
+        return self
+
+    def __exit__(self, *_) -> None:
+        self.close()
+
     # Appending ---------------------------------------------------------------
 
     def append(self, events: Iterable[Event], condition: AppendCondition | None = None, tracking_info: TrackingInfo | None = None) -> int:

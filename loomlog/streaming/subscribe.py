@@ -4,14 +4,16 @@ from __future__ import annotations
 
 import json
 import os
+import threading
+import time
 from collections.abc import Callable, Iterator
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.datasource import DataSource, DataSourceStreamReader, InputPartition
 
-from ..errors import IntegrityError
-from ..model import LOG_SCHEMA, MAX_POSITION, Query
+from ..errors import CancelledError, IntegrityError, StoreTimeoutError
+from ..model import LOG_SCHEMA, MAX_POSITION, Query, TrackingInfo
 from ..plans.compiler import query_column
 
 
@@ -120,6 +122,62 @@ def subscribe(spark: SparkSession, root: str, query: Query | None = None, after:
     return out.filter(F.lit(False)) if after >= MAX_POSITION else out
 
 
+class Subscription:
+    """An endless, ordered iterator over a store's matching events: those there, then each commit.
+
+    For a consumer in the driver; ``subscribe`` is the distributed form. Reads
+    chunks of ``batch`` events by position and waits ``poll`` seconds between
+    looks at an unchanged head. A cancelled one raises CancelledError.
+    """
+
+    def __init__(self, store, query: Query | None = None, after: int | None = None, batch: int = 1024, poll: float = 0.2):
+        self.store, self.query, self.batch, self.poll = store, query, min(max(1, batch), 4096), poll
+        self.last = after or 0
+        self._ready: list = []
+        self._cancelled = threading.Event()
+
+    def next_batch(self, timeout: float | None = None) -> list:
+        """The next events, at least one; StoreTimeoutError if none came in ``timeout`` seconds."""
+        if self._ready:
+            out, self._ready = self._ready, []
+            return out
+        end = None if timeout is None else time.monotonic() + timeout
+        while True:
+            if self._cancelled.is_set():
+                raise CancelledError("cancelled by user")
+            if self.last >= MAX_POSITION:
+                return []
+            snapshot = self.store.snapshot()
+            if snapshot.head > self.last:
+                out = list(self.store.read(self.query, start=self.last + 1, limit=self.batch, snapshot=snapshot))
+                self.last = out[-1].position if len(out) == self.batch else snapshot.head
+                if out:
+                    return out
+                continue
+            if end is not None and time.monotonic() >= end:
+                raise StoreTimeoutError("nothing arrived in time")
+            self._cancelled.wait(self.poll if end is None else max(0.0, min(self.poll, end - time.monotonic())))
+
+    def next_timeout(self, timeout: float):
+        """The next single event."""
+        first, *self._ready = self.next_batch(timeout)
+        return first
+
+    def __iter__(self):
+        return self
+
+    def __next__(self):
+        batch = self.next_batch()
+        if not batch:
+            raise StopIteration
+        first, *self._ready = batch
+        return first
+
+    def cancel(self) -> None:
+        """Ends this subscription, also from another thread."""
+        self._cancelled.set()
+
+
 def project(stream: DataFrame, checkpoint: str, source: str, target, fold: Callable[[DataFrame], list], available_now: bool = True):
     """Feeds a stream into another store exactly once.
 
@@ -128,7 +186,6 @@ def project(stream: DataFrame, checkpoint: str, source: str, target, fold: Calla
     batch's last position as tracking position of ``source``; a batch that was
     replayed after a failure is refused by that and skipped.
     """
-    from ..model import TrackingInfo
 
     def step(batch: DataFrame, _: int) -> None:
         batch = batch.persist()

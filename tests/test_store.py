@@ -207,3 +207,22 @@ def test_subscription(store, spark, tmp_path):
     for k in range(2):  # the second run starts without its checkpoint and is refused by the tracking position
         project(store.subscribe(), f"{tmp_path}/cp{k}", "up", target, fold).awaitTermination()
     assert target.head() == 4 and target.get_tracking_info("up") == 4
+
+
+def test_follow(store, spark):
+    from loomlog import CancelledError, StoreTimeoutError
+
+    with store:
+        store.append([E("a", "x"), E("b"), E("a", "x"), E("a", "x")])
+    f = store.follow(Q(([], ["x"])), after=1, batch=1)
+    assert f.next_timeout(60).position == 3 and [e.position for e in f.next_batch(60)] == [4]
+    with pytest.raises(StoreTimeoutError):
+        f.next_batch(0.1)
+    store.append([E("c"), E("c", "x")])
+    assert next(f).position == 6
+    f.cancel()
+    with pytest.raises(CancelledError):
+        f.next_batch()
+    assert list(store.follow(after=MAX_POSITION)) == []
+    store.view("the_log")
+    assert spark.sql("SELECT count(*) FROM the_log WHERE array_contains(tags, 'x')").first()[0] == 4
