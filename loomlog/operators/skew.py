@@ -15,7 +15,7 @@ from dataclasses import dataclass
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .tables import fresh
+from .tables import cut, fresh
 
 BUCKETS_PER_TASK = 16
 
@@ -48,7 +48,7 @@ def plan(df: DataFrame, keys: list[str], tasks: int, share: float = 0.5) -> Plan
     there are at most ``tasks / share`` of them; it gets one shard per such
     load. Null keys are a key like any other.
     """
-    loads = df.select(*keys).groupBy(*keys).agg(F.count(F.lit(1)).alias("__n")).withColumn("__b", _bucket(keys, tasks * BUCKETS_PER_TASK))
+    loads = cut(df.select(*keys).groupBy(*keys).agg(F.count(F.lit(1)).alias("__n")).withColumn("__b", _bucket(keys, tasks * BUCKETS_PER_TASK)))
     by_bucket = loads.groupBy("__b").agg(F.sum("__n").alias("n"), F.max("__n").alias("top"))
     buckets = {r["__b"]: r["n"] for r in by_bucket.collect()}  # at most 16 a task
     rows = sum(buckets.values())
