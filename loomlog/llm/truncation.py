@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import re
+from collections import Counter
 from collections.abc import Iterator
 
 import pyarrow as pa
@@ -22,23 +23,34 @@ MARKS = re.compile(
 STRAY = re.compile(r"(?:\r?\n[^\w\n]{0,4})+$|[\s\x00-\x08�]+$")
 QUOTE = re.compile(r"(?m)^[ \t]*[>|](?:[ \t]?[>|])*[ \t]?")
 PIECE = re.compile(r"[^\W\d_]+|\d+|[.!?]+|\n[ \t]*\n")
+COUNTED = re.compile(r"[^\W\d_]+|#|[.!?]")
+DIGITS = re.compile(r"\d+")
+GAP = re.compile(r"\n[ \t]*\n")
+STOPS = frozenset(".!?")
 SCAN = (
     "kind int, doc_id bigint, source string, chars bigint, bytes bigint, marked boolean, open string, body boolean, plain boolean, "
     "tail string, before string, ended boolean, length int, spaced boolean, word string, n bigint, n_end bigint"
 )
 FLUSH_WORDS = 200_000
+END = 120  # characters that hold any cut mark
 RARE = 1000
 
 
+def unmarked(text: str) -> str:
+    """The text without the cut marks at its end; only its end is looked at."""
+    while True:
+        end = text[-END:]
+        bare = MARKS.sub("", end)
+        if bare == end:
+            return text
+        text = text[: len(text) - len(end)] + bare
+
+
 def tail_of(text: str) -> tuple[str, str, bool, int, bool]:
     """How a text ends: (final word, the one before, is it at a sentence's end, words of its last sentence, does white space follow)."""
-    core = text
-    while True:
-        nxt = MARKS.sub("", core)
-        if nxt == core:
-            break
-        core = nxt
+    core = unmarked(text)
     spaced = core.endswith(" ")
+    core = core[core.rfind("\n", 0, max(0, len(core) - 1000)) + 1 :]  # whole lines, more than a sentence
     core = QUOTE.sub("", STRAY.sub("", core)).rstrip()
     last = core[-1:]
     part = core[-400:]
@@ -62,8 +74,8 @@ def scan(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", source: st
     """
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        total: dict[str, int] = {}
-        ends: dict[str, int] = {}
+        total: Counter[str] = Counter()
+        ends: Counter[str] = Counter()
         names = [f.split()[0] for f in SCAN.split(", ")]
         kinds = {"int": pa.int32(), "bigint": pa.int64(), "string": pa.string(), "boolean": pa.bool_()}
         types = [kinds[f.split()[1]] for f in SCAN.split(", ")]
@@ -72,8 +84,8 @@ def scan(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", source: st
             return pa.record_batch([pa.array(cols.get(c, [None] * n), t) for c, t in zip(names, types, strict=True)], names=names)
 
         def flush() -> pa.RecordBatch:
-            w = list(total)
-            out = table({"kind": [1] * len(w), "word": w, "n": [total[x] for x in w], "n_end": [ends.get(x, 0) for x in w]}, len(w))
+            w = [x for x in total if x not in STOPS]
+            out = table({"kind": [1] * len(w), "word": w, "n": [total[x] for x in w], "n_end": [ends[x] for x in w]}, len(w))
             total.clear()
             ends.clear()
             return out
@@ -83,9 +95,7 @@ def scan(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", source: st
             for d, t, s in zip(b.column(0).to_pylist(), b.column(1), b.column(2).to_pylist(), strict=True):
                 t = t.as_py() or ""
                 m = parse(t)
-                bare = t
-                while (nxt := MARKS.sub("", bare)) != bare:
-                    bare = nxt
+                bare = unmarked(t)
                 end = ("", "", True, 0, False)
                 if m.plain_end and m.parts:
                     end = tail_of(m.parts[-1][1])
@@ -93,20 +103,15 @@ def scan(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", source: st
                 for c, v in zip(rows, values, strict=True):
                     rows[c].append(v)
                 for k, (_, part) in enumerate(m.parts):
-                    toks = PIECE.findall(QUOTE.sub("", part))
+                    plain = DIGITS.sub("#", GAP.sub(" . ", QUOTE.sub("", part).lower()))
+                    toks = COUNTED.findall(plain)
                     if k == len(m.parts) - 1:
-                        while toks and toks[-1][0] in ".!?\n":
+                        while toks and toks[-1] in STOPS:
                             toks.pop()
                         toks = toks[:-1]
-                    toks.append("\n\n")
-                    nxt_ends = [x[0] in ".!?\n" for x in toks[1:]] + [True]
-                    for w, e in zip(toks, nxt_ends, strict=True):
-                        if w[0] in ".!?\n":
-                            continue
-                        w = w.lower() if not w.isdigit() else "#"
-                        total[w] = total.get(w, 0) + 1
-                        if e:
-                            ends[w] = ends.get(w, 0) + 1
+                    toks.append(".")
+                    total.update(toks)
+                    ends.update([w for w, nxt in zip(toks, toks[1:], strict=False) if nxt in STOPS])
                 if len(total) >= FLUSH_WORDS:
                     yield flush()
             yield table(rows, len(rows["kind"]))
