@@ -2,7 +2,6 @@
 
 from __future__ import annotations
 
-import math
 from collections.abc import Iterator
 
 import pyarrow as pa
@@ -15,6 +14,7 @@ from ..operators.tables import cut
 
 FLUSH = 262_144
 BROADCAST_BYTES = 32 << 20
+RANGES = 65_536  # hash ranges of a field's values, of which totals are kept
 SUMMARY = "node int, field string, item_value string, n bigint, err bigint, total bigint"
 
 
@@ -88,7 +88,7 @@ def _entries(df: DataFrame, fields: dict[str, Column]) -> DataFrame:
     return df.select(F.explode(F.concat(*parts)).alias("x")).select("x.*").filter("item_value is not null")
 
 
-def frequent(df: DataFrame, fields: dict[str, Column], k: int | None = None, one_in: int | None = None, min_count: int = 1, capacity: int = 4096) -> DataFrame:
+def frequent(df: DataFrame, fields: dict[str, Column], k: int | None = None, one_in: int | None = None, min_count: int = 1, capacity: int = 4096, most: int | None = None) -> DataFrame:
     """The most frequent values per field: (field, item_value, n, low, high, total).
 
     Either the ``k`` most frequent (ties by value), or all that make up at
@@ -99,44 +99,52 @@ def frequent(df: DataFrame, fields: dict[str, Column], k: int | None = None, one
     Phase 1: bounded local counts; the sums of the local leaders' counts give a
     lower bound, the k-th of them, or the wanted share, being the threshold.
     Phase 2: a value that reaches the threshold overall has its share of it on
-    some node (the node's part of all entries); each node's values above that
-    are fetched, and those whose upper bound is below the threshold dropped.
-    Phase 3: the remaining ones are counted exactly. They are at most 4/3 of
-    the entries over the threshold while a summary's error is below a quarter
-    of the threshold; for a smaller threshold (a flat top-k) phase 1 is
-    repeated with more capacity, up to 64 times as much, and if even that is
-    too little all values are counted by a spilling hash aggregate.
+    some node (the node's part of all entries). A node whose error is below a
+    quarter of its share holds every such value in its summary; its values
+    that may reach the share are fetched, and those whose upper bound (what is
+    known, plus the errors of all nodes) is below the threshold dropped.
+    Phase 3: the remaining ones are counted exactly.
+
+    If some node's error is larger (a flat top-k), phase 1 is repeated with
+    more capacity, up to ``most`` (64 times as much by default). Beyond that
+    the undecided values alone are counted again: values are hashed to
+    ``RANGES`` ranges whose totals bound the values in them, and only ranges
+    that reach the threshold are counted value by value, by an aggregate that
+    spills. The result is the same on every path; so is the bound on memory.
     """
     if (k is None) == (one_in is None):
         raise ValueError("give either k or one_in")
     if one_in is not None:
         capacity = max(capacity, 4 * one_in)
-    most = capacity * 64
+    most = capacity * 64 if most is None else max(most, capacity)
     while True:
         local = cut(local_counts(df, fields, capacity))
-        nodes = local.filter("item_value is null").groupBy("field").agg(F.sum("total").alias("total"), F.sum("err").alias("err"))
+        nodes = local.filter("item_value is null").select("node", "field", "total", "err")
         vals = local.filter("item_value is not null")
         sums = vals.groupBy("field", "item_value").agg(F.sum("n").alias("low"))
+        facts = nodes.groupBy("field").agg(F.sum("total").alias("total_all"), F.sum("err").alias("err_all"))
         if one_in is None:
             leaders = vals.withColumn("r", F.row_number().over(W.partitionBy("node", "field").orderBy(F.desc("n"), "item_value"))).filter(F.col("r") <= k)
             led = leaders.groupBy("field", "item_value").agg(F.sum("n").alias("low"))
             kth = led.withColumn("r", F.row_number().over(W.partitionBy("field").orderBy(F.desc("low"), "item_value"))).filter(F.col("r") <= k)
             least = kth.groupBy("field").agg(F.min("low").alias("m"), F.count(F.lit(1)).alias("found"))
-            bounds = nodes.join(least, "field", "left").withColumn("tau", F.when(F.coalesce("found", F.lit(0)) < k, F.lit(1)).otherwise(F.greatest("m", F.lit(min_count))))
+            facts = facts.join(least, "field", "left").withColumn("tau", F.when(F.coalesce("found", F.lit(0)) < k, F.lit(1)).otherwise(F.col("m")))
         else:
-            bounds = nodes.withColumn("tau", F.greatest(F.ceil(F.col("total") / F.lit(one_in)), F.lit(min_count)))
-        facts = {r["field"]: r for r in bounds.select("field", "total", "err", "tau").collect()}  # a row per field
-        worst = max((math.ceil(4 * r["err"] / max(1, r["tau"])) for r in facts.values()), default=0)
+            facts = facts.withColumn("tau", F.ceil(F.col("total_all") / F.lit(one_in)))
+        facts = facts.withColumn("tau", F.greatest("tau", F.lit(min_count), F.lit(1))).select("field", "total_all", "err_all", F.col("tau").cast("bigint").alias("tau"))
+        known = facts.collect()  # a row per field
+        if not known:
+            return df.sparkSession.createDataFrame([], "field string, item_value string, n bigint, low bigint, high bigint, total bigint")
+        limits = F.broadcast(df.sparkSession.createDataFrame([tuple(r) for r in known], facts.schema))
+        wide = lambda c: F.col(c).cast("decimal(38,0)")
+        # How much larger each node's error is than a quarter of its share of the threshold.
+        ratio = F.ceil(wide("err") * 4 * wide("total_all") / (wide("tau") * F.greatest(wide("total"), F.lit(1).cast("decimal(38,0)"))))
+        worst = int(nodes.join(limits, "field").agg(F.coalesce(F.max(ratio), F.lit(0))).first()[0])
         if worst <= 1:
             break
         if capacity >= most:
-            full = _entries(df, fields).groupBy("field", "item_value").agg(F.count(F.lit(1)).alias("n"))
-            out = full.join(F.broadcast(nodes.select("field", "total")), "field").withColumn("low", F.col("n")).withColumn("high", F.col("n"))
-            return _finish(out, k, one_in, min_count)
+            return _finish(_undecided(df, fields, limits), k, one_in, min_count)
         capacity = min(most, capacity * max(2, worst))
-    if not facts:
-        return df.sparkSession.createDataFrame([], "field string, item_value string, n bigint, low bigint, high bigint, total bigint")
-    limits = F.broadcast(df.sparkSession.createDataFrame([(f, int(r["total"]), int(r["err"]), int(r["tau"])) for f, r in facts.items()], "field string, total_all bigint, err_all bigint, tau bigint"))
     share = (F.col("n") + F.col("err")).cast("decimal(38,0)") * F.col("total_all") >= F.col("tau").cast("decimal(38,0)") * F.col("total")
     fetched = vals.join(limits, "field").filter(share).select("field", "item_value").distinct()
     kept = sums.join(fetched, ["field", "item_value"], "left_semi").join(limits, "field").withColumn("high", F.col("low") + F.col("err_all")).filter("high >= tau")
@@ -147,6 +155,21 @@ def frequent(df: DataFrame, fields: dict[str, Column], k: int | None = None, one
     return _finish(exact.join(kept, ["field", "item_value"]), k, one_in, min_count)
 
 
+def _undecided(df: DataFrame, fields: dict[str, Column], limits: DataFrame) -> DataFrame:
+    """Exact counts of all values that may reach their field's threshold ``tau``.
+
+    Values share ranges of hashes; a range whose total is below the threshold
+    holds no such value and is not counted again. At most ``RANGES`` rows a
+    field are broadcast.
+    """
+    at = F.pmod(F.xxhash64("item_value"), F.lit(RANGES)).cast("int")
+    e = _entries(df, fields).withColumn("__at", at)
+    full = cut(e.groupBy("field", "__at").agg(F.count(F.lit(1)).alias("n")).join(limits, "field").filter("n >= tau").select("field", "__at"))
+    n = e.join(F.broadcast(full), ["field", "__at"]).groupBy("field", "item_value").agg(F.count(F.lit(1)).alias("n"))
+    out = n.join(limits, "field").filter("n >= tau")
+    return out.select("field", "item_value", "n", F.col("n").alias("low"), F.col("n").alias("high"), F.col("total_all").alias("total"))
+
+
 def _finish(out: DataFrame, k: int | None, one_in: int | None, min_count: int) -> DataFrame:
     out = out.filter(F.col("n") >= min_count)
     if one_in is not None:

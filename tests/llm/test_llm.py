@@ -62,6 +62,42 @@ def test_frequent(spark, capacity):
     assert topk.frequent(df.select(F.lit(None).cast("array<string>").alias("a")), {"a": F.col("a")}, k=5).count() == 0
 
 
+def top(parts, k):
+    n = Counter(v for p in parts for v in p)
+    return {(v, c) for v, c in sorted(n.items(), key=lambda x: (-x[1], x[0]))[:k]}
+
+
+def nodes_of(spark, parts):
+    """A table with one scan task per part, however uneven."""
+    rows = [(k, p) for k, p in enumerate(parts)]
+    return spark.createDataFrame(rows, "k int, a array<string>").repartitionById(len(parts), F.col("k"))
+
+
+def test_frequent_small_node_loses_a_leader(spark):
+    # A summary that forgot a value on a small node must not lose it overall.
+    lost = ["X", *[f"s{k}" for k in range(5)]]
+    parts = [["F"] * 100_000 + ["X"] * 9 + ["Y"] * 10, lost, [x.replace("s", "t") for x in lost]]
+    got = topk.frequent(nodes_of(spark, parts), {"a": F.col("a")}, k=2, capacity=4).collect()
+    assert {(r["item_value"], r["n"]) for r in got} == {("F", 100_000), ("X", 11)}
+
+
+@pytest.mark.parametrize("most", [4, 8, None])
+def test_frequent_uneven_nodes(spark, most):
+    rng = random.Random(most)
+    for _ in range(2):
+        parts = []
+        for _ in range(rng.randrange(2, 5)):
+            size, spread = rng.choice([3, 30, 600]), rng.choice([3, 20, 300])
+            parts.append([f"v{int(spread * rng.random() ** rng.choice([1, 3]))}" for _ in range(size)])
+        k = rng.choice([1, 3, 7])
+        df = nodes_of(spark, parts)
+        got = topk.frequent(df, {"a": F.col("a")}, k=k, capacity=4, most=most).collect()
+        assert {(r["item_value"], r["n"]) for r in got} == top(parts, k)
+        got = topk.frequent(df, {"a": F.col("a")}, one_in=20, capacity=4, most=most).collect()
+        n = Counter(v for p in parts for v in p)
+        assert {(r["item_value"], r["n"]) for r in got} == {(v, c) for v, c in n.items() if c * 20 >= n.total()}
+
+
 @given(st.lists(st.lists(st.integers(0, 40), max_size=60), max_size=8), st.integers(1, 10))
 @settings(max_examples=60, deadline=None)
 def test_summary_bounds(batches, capacity):
