@@ -51,6 +51,24 @@ def fresh(df: DataFrame, name: str) -> str:
     return name
 
 
+def join_counted(df: DataFrame, side: DataFrame, on: str, count: str) -> DataFrame:
+    """Left join on one column that is unique in ``side``, where ``count`` says how many rows of ``df`` have it.
+
+    Values that more than one in ``tasks`` of these rows have, which are fewer
+    than ``tasks``, are joined by broadcast; only the rest is shuffled, so no
+    task gets a hot value. Every value of ``df`` that ``side`` lacks, and null,
+    must be rare. ``count`` is dropped.
+    """
+    tasks = int(df.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    limit = (side.agg(F.sum(count)).first()[0] or 0) // tasks
+    heavy = F.broadcast(side.filter(F.col(count) > limit).drop(count).withColumn("__hit", F.lit(True)))  # fewer than tasks rows
+    j = df.join(heavy, on, "left")
+    hot = j.filter("__hit").drop("__hit")
+    rest = j.filter("__hit is null").select(*df.columns)
+    light = rest.join(side.filter(F.col(count) <= limit).drop(count), on, "left")
+    return hot.unionByName(light)
+
+
 def chunked(df: DataFrame, by: list[Column], chunks: int | None = None, name: str = "__chunk") -> DataFrame:
     """``df`` cut into range chunks along ``by``, as a written table with a column ``name``.
 
