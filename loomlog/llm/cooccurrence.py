@@ -75,9 +75,11 @@ def cooccurrence(df: DataFrame, row_id: str | None, items: str, min_count: int =
     mixed ones by probing each light item against its record's heavy list.
     An item seen in fewer than ``min_count`` records, or in so many that
     total / n is below ``min_lift``, can be in no result and is dropped before
-    pairs are made; that loses nothing. Light items reach their counts by a
-    join on the item, in which none is hot by definition. Pairs of one record
-    are streamed by nested explodes, never held as one list of pairs.
+    pairs are made; that loses nothing. Light items meet their counts in one
+    join on the item, before which heavy ones are taken out of the rows, and
+    carry them along; counts of heavy items are a broadcast table. So nothing
+    is joined once pairs are made. Pairs of one record are streamed by nested
+    explodes, never held as one list of pairs.
     """
     spark = df.sparkSession
     own = F.monotonically_increasing_id() if row_id is None else F.col(row_id)
@@ -88,26 +90,30 @@ def cooccurrence(df: DataFrame, row_id: str | None, items: str, min_count: int =
     entries = counts.agg(F.sum("n")).first()[0] or 0
     lift_ok = F.lit(True) if min_lift is None else F.col("n") * min_lift <= rows
     usable = counts.filter((F.col("n") >= min_count) & lift_ok)
-    cap = entries // max_heavy
-    heavy = [r["item"] for r in usable.filter(F.col("n") > cap).select("item").collect()]  # fewer than max_heavy
-    dense = heavy_pairs(x.select("__items"), heavy).filter(F.col("n") >= min_count)
-
-    marks = F.broadcast(spark.createDataFrame([(t,) for t in heavy], "item string"))  # fewer than max_heavy
-    flat = x.select("__row", F.explode("__items").alias("item"))
-    light = flat.join(usable.filter(F.col("n") <= cap).select("item"), "item")
-    solid = flat.join(marks, "item")
-    tagged = light.withColumn("light", F.lit(True)).unionByName(solid.withColumn("light", F.lit(False)))
-    record = tagged.groupBy("__row").agg(
-        F.array_sort(F.collect_list(F.when(F.col("light"), F.col("item")))).alias("ls"), F.collect_list(F.when(~F.col("light"), F.col("item"))).alias("hs")
-    )
-    each = record.filter(F.size("ls") > 0).select(F.posexplode("ls").alias("k", "a"), "ls", "hs")
-    # Light items after this one in the sorted list, and the record's heavy items.
-    partner = each.select("a", F.explode(F.concat(F.slice("ls", F.col("k") + 2, F.size("ls")), F.col("hs"))).alias("b"))
-    sparse = partner.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).groupBy("a", "b").agg(F.count(F.lit(1)).alias("n")).filter(F.col("n") >= min_count)
-
-    pairs = dense.unionByName(sparse)
-    named = pairs.join(counts.select(F.col("item").alias("a"), F.col("n").alias("n_a")), "a").join(counts.select(F.col("item").alias("b"), F.col("n").alias("n_b")), "b")
-    out = named.select(
+    often = counts.filter(F.col("n") > entries // max_heavy).select("item", "n").collect()  # fewer than max_heavy
+    fits = {r["item"] for r in often if r["n"] >= min_count and (min_lift is None or r["n"] * min_lift <= rows)}
+    heavy = sorted((r["item"], r["n"]) for r in often if r["item"] in fits)
+    dense = heavy_pairs(x.select("__items"), [t for t, _ in heavy]).filter(F.col("n") >= min_count)
+    marks = F.broadcast(spark.createDataFrame(heavy, "item string, n bigint"))  # fewer than max_heavy
+    n_of = lambda c, name: marks.select(F.col("item").alias(c), F.col("n").alias(name))
+    dense = dense.join(n_of("a", "n_a"), "a").join(n_of("b", "n_b"), "b").select("a", "b", "n_a", "n_b", "n")
+
+    listed = lambda names: F.array(*[F.lit(t) for t in names]).cast("array<string>")  # noqa: E731  # fewer than max_heavy
+    flat = x.select("__row", F.explode(F.array_except("__items", listed([r["item"] for r in often]))).alias("item"))
+    light = flat.join(usable.filter(F.col("n") <= entries // max_heavy).select("item", "n"), "item").select("__row", F.struct("item", "n").alias("x"), F.lit(None).cast("array<string>").alias("hs"))
+    solid = x.select("__row", F.lit(None).cast("struct<item:string,n:bigint>").alias("x"), F.array_intersect("__items", listed([t for t, _ in heavy])).alias("hs")).filter(F.size("hs") > 0)
+    record = light.unionByName(solid).groupBy("__row").agg(F.array_sort(F.collect_list("x")).alias("ls"), F.coalesce(F.max("hs"), listed([])).alias("hs"))
+    each = record.filter(F.size("ls") > 0).select(F.posexplode("ls").alias("k", "x"), "ls", "hs")
+    # Light items after this one in the sorted list, and the record's heavy items, whose counts are put in last.
+    heavy_as = F.transform("hs", lambda t: F.struct(t.alias("item"), F.lit(None).cast("bigint").alias("n")))
+    partner = each.select("x", F.explode(F.concat(F.slice("ls", F.col("k") + 2, F.size("ls")), heavy_as)).alias("y"))
+    pair = partner.select(F.least("x", "y").alias("a"), F.greatest("x", "y").alias("b")).select(F.col("a.item").alias("a"), F.col("b.item").alias("b"), F.col("a.n").alias("n_a"), F.col("b.n").alias("n_b"))
+    sparse = pair.groupBy("a", "b").agg(F.max("n_a").alias("n_a"), F.max("n_b").alias("n_b"), F.count(F.lit(1)).alias("n")).filter(F.col("n") >= min_count)
+    for c in ("a", "b"):
+        known = n_of(c, "__n")
+        sparse = sparse.join(known, c, "left").withColumn(f"n_{c}", F.coalesce(f"n_{c}", "__n")).drop("__n")
+
+    out = dense.unionByName(sparse.select(dense.columns)).select(
         F.col("a").alias("item_a"),
         F.col("b").alias("item_b"),
         F.col("n").alias("n_ab"),
