@@ -89,38 +89,40 @@ def _leaf(kind: str, rest: str, encoding: str, body: str, out: Message, last: bo
         out.plain_end = is_text and kind != "text/html"
 
 
-def _walk(text: str, out: Message, last: bool, depth: int) -> None:
+def _inside(text: str, out: Message, last: bool) -> list[tuple[str, bool]]:
+    """Reads one part; returns the raw parts in it, and whether each ends where the text does (a message in a message)."""
     head, body = _split(text)
     m = TYPE.search(head)
     kind, rest = (m[1].lower(), m[2]) if m else ("", "")
     b = BOUNDARY.search(rest) if kind.startswith("multipart/") else None
     mark = (b[1] or b[2] or "") if b else ""
-    if mark and depth < 10:
+    if mark:
         pieces = body.split("--" + mark)
-        closed = any(p.startswith("--") for p in pieces[1:])
+        end = next((k for k, p in enumerate(pieces) if k and p.startswith("--")), 0)
         out.body = out.body or bool(body.strip())
         if last:
-            out.open = "" if closed else "multipart" if body.strip() else ""
+            out.open = "" if end or not body.strip() else "multipart"
             out.plain_end = False
         if pieces[0].strip() and len(pieces) == 1:
             out.parts.append(("text/plain", pieces[0]))
-        for p in pieces[1:]:
-            if p.startswith("--"):
-                break
-            _walk(p[2:] if p.startswith("\r\n") else p[1:] if p.startswith("\n") else p, out, False, depth + 1)
-        return
-    if kind == "message/rfc822" and depth < 10:
-        _walk(body, out, last, depth + 1)
-        return
+        return [(p.removeprefix("\r").removeprefix("\n"), False) for p in pieces[1 : end or None]]
+    if kind == "message/rfc822":
+        return [(body, last)]
     enc = ENCODING.search(head)
     _leaf(kind, rest, enc[1].lower() if enc else "", body, out, last)
+    return []
 
 
 def parse(text: str | None) -> Message:
-    """Reads a raw message; null and empty texts have no parts and no body."""
+    """Reads a raw message; null and empty texts have no parts and no body.
+
+    Parts stand in the order of the text, however deep they are nested.
+    """
     out = Message()
-    if text:
-        _walk(text, out, True, 0)
+    todo = [(text, True)] if text else []
+    while todo:
+        part, last = todo.pop()
+        todo += reversed(_inside(part, out, last))
     return out
 
 

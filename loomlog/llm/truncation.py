@@ -11,7 +11,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window as W
 
-from ..operators.tables import cut
+from ..operators.tables import cut, join_counted
 from .mail import parse
 
 #: What senders and stores put after text they cut: fixed forms.
@@ -20,7 +20,6 @@ MARKS = re.compile(
     r"|\(\W*(?:more|truncated|clipped|continued|cut)\W*\)|<\.\.\.>|<(?:truncated|clipped|more)>|…|\.\.\.|�+|\x00+))\s*$",
     re.I,
 )
-STRAY = re.compile(r"(?:\r?\n[^\w\n]{0,4})+$|[\s\x00-\x08�]+$")
 QUOTE = re.compile(r"(?m)^[ \t]*[>|](?:[ \t]?[>|])*[ \t]?")
 PIECE = re.compile(r"[^\W\d_]+|\d+|[.!?]+|\n[ \t]*\n")
 COUNTED = re.compile(r"[^\W\d_]+|#|[.!?]")
@@ -32,34 +31,74 @@ SCAN = (
     "tail string, before string, ended boolean, length int, spaced boolean, word string, n bigint, n_end bigint"
 )
 FLUSH_WORDS = 200_000
-END = 120  # characters that hold any cut mark
 RARE = 1000
+MARK_ENDS = frozenset("])>….\ufffd\x00")
+MARK_WORDS = 3  # no mark has more words
+RUN = re.compile(r"\w+")
+STRAYS = "\ufffd" + "".join(map(chr, range(9)))
+DEEP = 40  # from this length on, prefixes are made only where a text ends in one
 
 
 def unmarked(text: str) -> str:
-    """The text without the cut marks at its end; only its end is looked at."""
+    """The text without the cut marks at its end.
+
+    Looks at as much of the end as can be a mark: until it holds more words
+    than any mark, or is the whole text.
+    """
     while True:
-        end = text[-END:]
-        bare = MARKS.sub("", end)
-        if bare == end:
+        body = text.rstrip()
+        if body[-1:] not in MARK_ENDS or not body:
+            return text
+        n = 120
+        while n < len(body) and len(RUN.findall(body[-n:])) <= MARK_WORDS + 1:
+            n *= 4
+        bare = MARKS.sub("", body[-n:])
+        if len(bare) == min(n, len(body)):
             return text
-        text = text[: len(text) - len(end)] + bare
+        text = body[: max(0, len(body) - n)] + bare
+
+
+def _unstrayed(text: str) -> str:
+    """The text without white space, control characters and lines of at most four stray marks at its end."""
+    while True:
+        text = text.rstrip().rstrip(STRAYS)
+        line = text[text.rfind("\n") + 1 :] if "\n" in text[-5:] else None
+        if line is None or RUN.search(line):
+            short = text.rstrip()
+            if len(short) == len(text):
+                return text
+            text = short
+        else:
+            text = text[: len(text) - len(line) - 1]
 
 
 def tail_of(text: str) -> tuple[str, str, bool, int, bool]:
-    """How a text ends: (final word, the one before, is it at a sentence's end, words of its last sentence, does white space follow)."""
+    """How a text ends: (final word, the one before, is it at a sentence's end, words of its last sentence, does white space follow).
+
+    Whole lines are taken from the end, more and more of them until they hold
+    the beginning of the last sentence.
+    """
     core = unmarked(text)
     spaced = core.endswith(" ")
-    core = core[core.rfind("\n", 0, max(0, len(core) - 1000)) + 1 :]  # whole lines, more than a sentence
-    core = QUOTE.sub("", STRAY.sub("", core)).rstrip()
-    last = core[-1:]
-    part = core[-400:]
-    toks = PIECE.findall(part)
-    words_back: list[str] = []
-    for t in reversed(toks):
-        if t[0] in ".!?\n":
+    core = _unstrayed(core)
+    n = 1000
+    while True:
+        at = core.rfind("\n", 0, max(0, len(core) - n)) + 1
+        part = QUOTE.sub("", core[at:]).rstrip()
+        for some in (part[-400:], part):  # most sentences are short
+            words_back: list[str] = []
+            found = False
+            for t in reversed(PIECE.findall(some)):
+                if t[0] in ".!?\n":
+                    found = True
+                    break
+                words_back.append(t)
+            if found:
+                break
+        if found or at == 0:
             break
-        words_back.append(t)
+        n *= 4
+    last = part[-1:]
     ended = not (last.isalnum() or last == "_" or last in ",-'’/+=&(<\"“")
     w = [("#" if t.isdigit() else t.lower()) for t in words_back[:2]]
     return (w[0] if w else "", w[1] if len(w) > 1 else "", ended, len(words_back), spaced)
@@ -126,15 +165,25 @@ def vocabulary(scanned: DataFrame) -> DataFrame:
     return scanned.filter("kind = 1").groupBy("word").agg(F.sum("n").alias("n"), F.sum("n_end").alias("n_end"))
 
 
-def trie(vocab: DataFrame, least: int = 3, deepest: int = 40) -> DataFrame:
+def trie(vocab: DataFrame, least: int = 3, ends: DataFrame | None = None) -> DataFrame:
     """The vocabulary's trie as a table of its inner nodes: (prefix, below, words).
 
     A node is a proper prefix of words seen at least ``least`` times;
     ``below`` sums their occurrences, ``words`` counts them. Nodes are
-    partitioned by prefix like any key, so the trie may be of any size.
+    partitioned by prefix like any key, so the trie may be of any size. With
+    ``ends`` (column w), nodes of more than 40 letters are made only where one
+    of these texts' ends begins alike and has that length, so that a very long
+    word doesn't make as many nodes as it has letters, each as long; without
+    it all are made.
     """
     known = vocab.filter((F.col("n") >= least) & (F.length("word") > 1))
-    node = known.select("n", F.explode(F.expr(f"transform(sequence(1, least(length(word) - 1, {deepest})), i -> left(word, i))")).alias("prefix"))
+    most = F.length("word") - 1 if ends is None else F.least(F.length("word") - 1, F.lit(DEEP))
+    node = known.select("n", F.explode(F.transform(F.sequence(F.lit(1), most), lambda i: F.left(F.col("word"), i))).alias("prefix"))
+    if ends is not None:
+        head = lambda c: F.left(F.col(c), F.lit(DEEP)).alias("head")
+        deep = ends.filter(F.length("w") > DEEP).select(head("w"), F.length("w").alias("l")).distinct()
+        long = known.filter(F.length("word") > DEEP).select("n", "word", head("word")).join(deep, "head").filter(F.col("l") < F.length("word"))
+        node = node.unionByName(long.select("n", F.left(F.col("word"), F.col("l")).alias("prefix")))
     return node.groupBy("prefix").agg(F.sum("n").alias("below"), F.count(F.lit(1)).alias("words"))
 
 
@@ -168,13 +217,17 @@ def evidence(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", source
     s = scan(docs, doc_id, text, source) if scanned is None else scanned
     d = s.filter("kind = 0").drop("kind", "word", "n", "n_end")
     vocab = cut(vocabulary(s))
-    finals = d.filter("plain and tail != ''").select(F.col("tail").alias("w")).distinct()
+    finals = d.filter("plain and tail != ''").groupBy(F.col("tail").alias("w")).agg(F.count(F.lit(1)).alias("docs"))
     known = vocab.filter("n >= 3").select(F.col("word").alias("w"), "n", "n_end")
-    node = trie(vocab).select(F.col("prefix").alias("w"), "below")
+    node = trie(vocab, ends=finals).select(F.col("prefix").alias("w"), "below")
     facts = finals.join(known, "w", "left").join(node, "w", "left").withColumnRenamed("w", "tail")
+    # Texts without a final word stay out of the join; frequent final words meet their facts by a bounded broadcast.
+    ends = F.col("plain") & (F.col("tail") != "")
+    named = join_counted(d.filter(ends), cut(facts), "tail", "docs")
+    bare = d.filter(~F.coalesce(ends, F.lit(False)))
     lim = limits(s)
     as_limit = lambda unit: lim.filter(F.col("unit") == unit).select(F.col("source").alias("__s"), F.col("size").alias(f"__{unit}"))
-    j = d.join(facts, "tail", "left")
+    j = named.unionByName(bare, allowMissingColumns=True)
     for unit in ("chars", "bytes"):
         r = as_limit(unit).groupBy("__s").agg(F.collect_set(f"__{unit}").alias(f"__{unit}"))  # a source has few limits
         j = j.join(r, j["source"].eqNullSafe(r["__s"]), "left").drop("__s")

@@ -189,6 +189,15 @@ def test_mail():
     assert mail.parse("just words, no header").parts == [("text/plain", "just words, no header")]
 
 
+def test_mail_nested_deep():
+    text = "From: x\n\nthe innermost words"
+    for k in range(40):
+        text = f'From: x\nContent-Type: multipart/mixed; boundary="b{k}x"\n\n--b{k}x\n{text}\n--b{k}x\n\nafter {k}\n--b{k}x--\n' if k % 2 else f"From: x\nContent-Type: message/rfc822\n\n{text}"
+    m = mail.parse(text)
+    got = [mail.words(t) for _, t in m.parts]
+    assert got[0] == ["the", "innermost", "words"] and got[1:] == [["after", str(k)] for k in range(1, 40, 2)] and m.open == ""
+
+
 # Leaks
 
 
@@ -290,6 +299,22 @@ def test_tail_of():
     assert truncation.tail_of("Done now.\n> \n.")[2] is True
     assert truncation.tail_of("so it went and ")[4] is True
     assert truncation.tail_of("")[0] == ""
+    # nothing is cut off by a window: long marks, long rests, long sentences, long words
+    assert truncation.tail_of("The aud [" + "." * 500 + "message truncated" + "-" * 500 + "]" + " " * 3000)[0] == "aud"
+    assert truncation.tail_of("The aud" + "\n> " * 5000)[0] == "aud"
+    assert truncation.tail_of("Yes. the " + "wide " * 4000 + "aud")[:4] == ("aud", "wide", False, 4002)
+    assert truncation.tail_of("The " + "z" * 9000)[0] == "z" * 9000
+
+
+def test_trie_of_long_words(spark):
+    long = ["ab" * 30, "ab" * 40 + "x", "q" * 500]
+    vocab = spark.createDataFrame([(w, 5, 0) for w in [*long, "abbey"]] + [("rare" * 20, 1, 0)], "word string, n bigint, n_end bigint")
+    ends = ["ab" * 22, "ab" * 30, "q" * 41, "q" * 499, "q" * 500, "rare" * 15, "abb", "zz"]
+    got = {r["prefix"]: (r["below"], r["words"]) for r in truncation.trie(vocab, ends=spark.createDataFrame([(w,) for w in ends], "w string")).collect()}
+    for w in ends:
+        n = sum(1 for x in [*long, "abbey"] if x.startswith(w) and x != w)
+        assert got.get(w) == ((5 * n, n) if n else None), w
+    assert {k: v for k, v in got.items() if len(k) <= 40} == {r["prefix"]: (r["below"], r["words"]) for r in truncation.trie(vocab).collect() if len(r["prefix"]) <= 40}
 
 
 def test_truncated(spark):
