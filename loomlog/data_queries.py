@@ -2,12 +2,14 @@
 
 from __future__ import annotations
 
+from functools import reduce
+
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from .operators import delivered_once as D
 from .operators import drift, incremental, skew
-from .operators.tables import cut
+from .operators.tables import session_path
 from .queries import Queries
 from .sources.tables import event_log, table
 
@@ -20,6 +22,12 @@ def p2_found(spark: SparkSession, d: str) -> DataFrame:
     return D.surplus(table(spark, d, "deliveries"), D.delivery_identifiers(), "delivery_id")
 
 
+def p2_method(spark: SparkSession, d: str) -> DataFrame:
+    """The named method alone: one aggregation by each delivery's own identifier, min_by over (arrival, id)."""
+    t = table(spark, d, "deliveries").select("delivery_id", "batch_id", "received_at", "source", "position", "uuid")
+    return D.keep_one(t, D.own_identifier(), ["received_at", "delivery_id"]).select("delivery_id", "batch_id")
+
+
 def p2_kept(spark: SparkSession, d: str) -> DataFrame:
     """One delivery of each event: the whole group by any identifier, then the first to arrive."""
     t = table(spark, d, "deliveries")
@@ -35,6 +43,13 @@ def p2_by_uuid(spark: SparkSession, d: str) -> DataFrame:
     return D.keep_one(t, D.uuid_digits(F.col("uuid")), ["received_at", "delivery_id"]).select("delivery_id", "batch_id", "source", "position")
 
 
+def p3_method(spark: SparkSession, d: str) -> DataFrame:
+    """The named method with a written ledger: three runs, each over the batches there by then; what each of them took."""
+    inc = incremental.replay(table(spark, d, "deliveries"), session_path(spark), 3)
+    parts = [spark.read.parquet(p).withColumn("run", F.lit(k + 1).cast("bigint")) for k, p in enumerate(inc.results())]
+    return reduce(DataFrame.unionByName, parts).select("source", "position", "version", "run")
+
+
 def p3_found(spark: SparkSession, d: str) -> DataFrame:
     return incremental.unprocessed(table(spark, d, "deliveries"), table(spark, d, "tracking_runs")).select("source", "position")
 
@@ -70,9 +85,11 @@ def p6_table(spark: SparkSession, d: str) -> DataFrame:
 
 def queries() -> Queries:
     return {
+        "p2_method": p2_method,
         "p2_found": p2_found,
         "p2_kept": p2_kept,
         "p2_by_uuid": p2_by_uuid,
+        "p3_method": p3_method,
         "p3_found": p3_found,
         "p5_found": p5_found,
         "p5_key_results": p5_key_results,
@@ -104,8 +121,14 @@ def oracle_sql() -> dict[str, str]:
         "p2_kept": f"""{LINKED}
             SELECT delivery_id, batch_id FROM (SELECT i.delivery_id, batch_id, row_number() OVER (PARTITION BY first_id ORDER BY received_at, i.delivery_id) AS k
             FROM i JOIN g ON g.delivery_id = i.delivery_id) WHERE k = 1""",
+        "p2_method": f"""WITH {IDENTIFIED}
+            SELECT delivery_id, batch_id FROM (SELECT *, row_number() OVER (PARTITION BY coalesce(u, s) ORDER BY received_at, delivery_id) AS k FROM i) WHERE coalesce(u, s) IS NULL OR k = 1""",
         "p2_by_uuid": f"""WITH {IDENTIFIED}
             SELECT delivery_id, batch_id, source, position FROM (SELECT *, row_number() OVER (PARTITION BY u ORDER BY received_at, delivery_id) AS k FROM i) WHERE u IS NULL OR k = 1""",
+        "p3_method": f"""
+            WITH b AS (SELECT min(batch_id) AS a, max(batch_id) AS z FROM deliveries),
+            r AS ({" UNION ALL ".join(f"SELECT {k} AS run, source, position, min(received_at) AS version FROM deliveries, b WHERE source IS NOT NULL AND position IS NOT NULL AND batch_id <= a + (z - a) * {k} // 3 GROUP BY 2, 3" for k in (1, 2, 3))})
+            SELECT source, position, version, min(run)::BIGINT AS run FROM r GROUP BY 1, 2, 3""",
         "p3_found": """
             WITH p AS (SELECT source, position, min(received_at) AS version FROM deliveries WHERE source IS NOT NULL AND position IS NOT NULL GROUP BY 1, 2)
             SELECT source, position FROM p WHERE NOT EXISTS (SELECT 1 FROM tracking_runs r WHERE r.source = p.source AND r.outcome = 'committed'

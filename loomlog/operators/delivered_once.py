@@ -2,12 +2,13 @@
 
 from __future__ import annotations
 
+from collections.abc import Callable
 from functools import reduce
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .tables import cut
+from .tables import cut, join_split
 
 
 def uuid_digits(c: Column) -> Column:
@@ -46,34 +47,42 @@ def first_copies(df: DataFrame, identifiers: dict[str, Column], row_id: str, max
     done. The others pass minima along shared identifiers, and each also takes
     over what its current minimum's combination has learned, so a chain of n
     links takes about log n rounds; every round is a written table. A group of
-    copies of any size is one row per combination; shared hot identifiers are
-    aggregated before the shuffle, and joins on them split by AQE.
+    copies of any size is one row per combination. Shared identifiers are
+    aggregated before the shuffle; rows that lack one go around its join, and
+    hot ones are joined by a bounded broadcast.
     """
     names = list(identifiers)
     keyed = df.select(F.col(row_id).alias("__row"), *[F.coalesce(c, F.lit("")).alias(n) for n, c in identifiers.items()])
     keyed = keyed.filter("__row is not null").filter(reduce(lambda a, b: a | b, [F.col(n) != "" for n in names]))
-    combos = cut(keyed.groupBy(*names).agg(F.min("__row").alias("first_id")))
+    combos = cut(keyed.groupBy(*names).agg(F.min("__row").alias("first_id"), F.count(F.lit(1)).alias("__rows")))
     seen = combos.withColumn("__shared", F.lit(False))
     for n in names:
-        often = combos.filter(F.col(n) != "").groupBy(n).agg((F.count(F.lit(1)) > 1).alias("__s"))
-        seen = seen.join(often, n, "left").withColumn("__shared", F.col("__shared") | F.coalesce(F.col("__s"), F.lit(False))).drop("__s")
+        seen = _along(seen, n, F.count(F.lit(1)).alias("__k"), "__shared", lambda: F.col("__shared") | (F.col("__k") > 1))
     seen = cut(seen)
     done = seen.filter("not __shared").drop("__shared")
     live = seen.filter("__shared").drop("__shared").withColumn("__self", F.col("first_id"))
     for _ in range(max_rounds):
         step = live.withColumn("__old", F.col("first_id"))
         for n in names:
-            least = step.filter(F.col(n) != "").groupBy(n).agg(F.min("first_id").alias("__m"))
-            step = step.join(least, n, "left").withColumn("first_id", F.least("first_id", "__m")).drop("__m")
+            step = _along(step, n, F.min("first_id").alias("__k"), "first_id", lambda: F.least("first_id", "__k"))
         live = cut(step)
         if not live.filter("first_id < __old").limit(1).count():
             break
         known = live.select(F.col("__self").alias("first_id"), F.col("first_id").alias("__m"))
-        live = live.drop("__old").join(known, "first_id").withColumn("first_id", F.col("__m")).drop("__m")
+        live = join_split(live.drop("__old"), known, ["first_id"]).withColumn("first_id", F.col("__m")).drop("__m")
     else:
         raise RuntimeError(f"no end after {max_rounds} rounds")
-    labels = done.unionByName(live.select(*names, "first_id"))
-    return keyed.join(labels, names).select(F.col("__row").alias(row_id), "first_id")
+    labels = cut(done.unionByName(live.select(*names, "first_id", "__rows")))
+    counts = labels.select(*names, F.col("__rows").alias("n"))
+    return join_split(keyed, labels.drop("__rows"), names, counts).select(F.col("__row").alias(row_id), "first_id")
+
+
+def _along(step: DataFrame, name: str, agg: Column, target: str, new: Callable[[], Column]) -> DataFrame:
+    """Sets ``target`` to ``new()`` where ``agg`` (as ``__k``) is known of the rows that share identifier ``name``; others stay."""
+    have = step.filter(F.col(name) != "")
+    side = cut(have.groupBy(name).agg(agg, F.count(F.lit(1)).alias("n")))
+    met = join_split(have, side.drop("n"), [name], side.select(name, "n")).withColumn(target, new()).select(*step.columns)
+    return met.unionByName(step.filter(F.col(name) == ""))
 
 
 def surplus(df: DataFrame, identifiers: dict[str, Column], row_id: str) -> DataFrame:
@@ -81,6 +90,11 @@ def surplus(df: DataFrame, identifiers: dict[str, Column], row_id: str) -> DataF
     return first_copies(df, identifiers, row_id).filter(F.col(row_id) != F.col("first_id")).select(row_id)
 
 
+def own_identifier() -> Column:
+    """The one identifier of a delivery for a single aggregation: its uuid, else its source and position."""
+    return F.coalesce(*delivery_identifiers().values())
+
+
 def delivery_identifiers() -> dict[str, Column]:
     """How ``deliveries`` are known: by uuid, or by source and position together."""
     both = F.col("source").isNotNull() & F.col("position").isNotNull()

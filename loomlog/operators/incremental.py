@@ -10,7 +10,9 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window as W
 
-from .tables import chunked
+from ..errors import ConflictError
+from ..files import Files
+from .tables import chunked, cut
 
 
 def horizons(runs: DataFrame) -> DataFrame:
@@ -69,63 +71,125 @@ def unprocessed(deliveries: DataFrame, runs: DataFrame) -> DataFrame:
 class IncrementalRun:
     """Runs a step over the records not yet in its own ledger, exactly once each.
 
-    The ledger is a folder of Parquet parts (key columns and version). A run
-    rereads records at or beyond its horizon: the oldest version still open
-    when the last run ended (``open_since``, e.g. the start of the oldest
-    transaction then running). It anti-joins them with the ledger parts from
-    there on, writes the step's result under a new name, and then publishes one
-    marker that names result, ledger part and horizon. Before the marker
-    nothing counts: a failed run leaves files that no one reads, and the next
-    run takes the same records again.
+    A run reads the markers of the runs before it; its number is theirs plus
+    one. It rereads records at or beyond the last marker's horizon, which is
+    the oldest transaction that was open when that run read (its records may
+    have appeared since), and anti-joins their (key, version) pairs with the
+    ledger parts that reach as far. It writes the step's result and its own
+    ledger part under new names, and then publishes one marker under its
+    number. Before the marker nothing counts: a failed run leaves files that
+    no one reads. If another run took the number meanwhile, what was written
+    is thrown away and the run begins anew, so no record is processed twice.
+
+    Records with a null version are always reread. Keys may be null. Equal
+    rows of one run are all handed to the step, once.
     """
 
     def __init__(self, spark: SparkSession, root: str, keys: list[str], version: str):
-        self.spark, self.root, self.keys, self.version = spark, root.rstrip("/"), keys, version
-
-    def _markers(self) -> list[dict]:
-        path = self.spark.sparkContext._jvm.org.apache.hadoop.fs.Path(f"{self.root}/runs")
-        fs = path.getFileSystem(self.spark.sparkContext._jsc.hadoopConfiguration())
-        if not fs.exists(path):
-            return []
-        names = sorted(f.getPath().getName() for f in fs.listStatus(path) if f.getPath().getName().endswith(".json"))
-        out = []
-        for n in names:
-            stream = fs.open(self.spark.sparkContext._jvm.org.apache.hadoop.fs.Path(f"{self.root}/runs/{n}"))
-            out.append(json.loads(self.spark.sparkContext._jvm.org.apache.commons.io.IOUtils.toString(stream, "UTF-8")))
-            stream.close()
-        return out
+        self.spark, self.keys, self.version = spark, keys, version
+        self.files = Files(spark, root)
+        self.root = self.files.root
+
+    def markers(self) -> list[dict]:
+        """What the committed runs published, in order."""
+        return [json.loads(self.files.text(f"runs/{n}")) for n in self.files.names("runs") if n.endswith(".json") and n[:-5].isdigit()]
 
     def results(self) -> list[str]:
-        return [m["result"] for m in self._markers()]
-
-    def pending(self, records: DataFrame) -> DataFrame:
-        """The records of this run: the reread part without what the ledger has. Null versions are always reread."""
-        markers = self._markers()
-        since = markers[-1]["open_since"] if markers else None
-        if since is not None:
-            records = records.filter(F.col(self.version).isNull() | (F.col(self.version) >= since))
+        return [f"{self.root}/{m['result']}" for m in self.markers()]
+
+    def ledgers(self, since: str | None, markers: list[dict] | None = None, kind: str = "string") -> list[str]:
+        """Folders of the ledger parts with null versions or any from ``since`` on; versions compare as type ``kind``."""
+        markers = self.markers() if markers is None else markers
+        if since is None or not markers:
+            return [f"{self.root}/{m['ledger']}" for m in markers]
+        rows = self.spark.createDataFrame([(m["ledger"], m["latest"], m["nulls"]) for m in markers], "l string, v string, n boolean")
+        hit = rows.filter(F.col("n") | (F.col("v").cast(kind) >= F.lit(since).cast(kind)))
+        return [f"{self.root}/{r['l']}" for r in hit.collect()]  # a row per run at most
+
+    def pending(self, records: DataFrame, markers: list[dict] | None = None) -> DataFrame:
+        """The records of the next run: the reread part without what the ledger has."""
+        markers = self.markers() if markers is None else markers
         if not markers:
             return records
-        done = self.spark.read.parquet(*[m["ledger"] for m in markers])
-        on = [records[c].eqNullSafe(done[c]) for c in [*self.keys, self.version]]
-        return records.join(done, on, "left_anti")
-
-    def run(self, records: DataFrame, step: Callable[[DataFrame], DataFrame], open_since=None) -> str:
-        """Processes what is pending; returns the folder of the result. ``open_since``: the next run's horizon (an integer or text that compares as the version does; None: reread all)."""
-        name = uuid.uuid4().hex
-        todo = f"{self.root}/todo/{name}"
-        self.pending(records).write.parquet(todo)
-        batch = self.spark.read.schema(records.schema).parquet(todo)
-        result, part = f"{self.root}/result/{name}", f"{self.root}/ledger/{name}"
-        step(batch).write.parquet(result)
-        batch.select(*self.keys, self.version).distinct().write.parquet(part)
-        n = len(self._markers())
-        jvm = self.spark.sparkContext._jvm
-        fs = jvm.org.apache.hadoop.fs.Path(self.root).getFileSystem(self.spark.sparkContext._jsc.hadoopConfiguration())
-        tmp, at = (jvm.org.apache.hadoop.fs.Path(f"{self.root}/runs/{x}") for x in (f".{name}.tmp", f"{n:010d}.json"))
-        out = fs.create(tmp, True)
-        out.write(bytearray(json.dumps({"result": result, "ledger": part, "open_since": open_since}).encode()))
-        out.close()
-        if fs.exists(at) or not fs.rename(tmp, at):
-            raise RuntimeError("another run committed meanwhile; run again")
-        return result
+        since, kind = markers[-1]["since"], records.schema[self.version].dataType.simpleString()
+        from_on = lambda df: df.filter(F.col(self.version).isNull() | (F.col(self.version) >= F.lit(since).cast(kind))) if since is not None else df
+        parts = self.ledgers(since, markers, kind)
+        if not parts:
+            return from_on(records)
+        keys = [*self.keys, self.version]
+        done = from_on(self.spark.read.schema(records.select(*keys).schema).parquet(*parts))
+        records = from_on(records)
+        return records.join(done, [records[c].eqNullSafe(done[c]) for c in keys], "left_anti")
+
+    def run(self, records: DataFrame, step: Callable[[DataFrame], DataFrame], opened: DataFrame | None = None, retries: int = 20) -> str:
+        """Processes what is pending; returns the folder of the result.
+
+        ``opened`` has the version column of the transactions open while
+        ``records`` is read: the next horizon is the least of them, or, if none
+        is open, the greatest version read. Without it everything is reread
+        next time.
+        """
+        for _ in range(retries):
+            markers = self.markers()
+            name = uuid.uuid4().hex
+            todo, result, part = (f"{x}/{name}" for x in ("todo", "result", "ledger"))
+            low = opened.agg(F.min(self.version).cast("string")).first()[0] if opened is not None else None
+            self.pending(records, markers).write.parquet(f"{self.root}/{todo}")
+            batch = self.spark.read.schema(records.schema).parquet(f"{self.root}/{todo}")
+            step(batch).write.parquet(f"{self.root}/{result}")
+            batch.select(*self.keys, self.version).distinct().write.parquet(f"{self.root}/{part}")
+            v = F.col(self.version)
+            seen = batch.agg(F.max(v).cast("string").alias("latest"), F.coalesce(F.max(v.isNull()), F.lit(False)).alias("nulls")).first()
+            since = low
+            if opened is not None and low is None:
+                since = seen["latest"] or (markers[-1]["since"] if markers else None)
+            for written in (result, part):
+                self.files.sync(written)
+            try:
+                text = json.dumps({"result": result, "ledger": part, "since": since, "latest": seen["latest"], "nulls": seen["nulls"]})
+                self.files.publish(f"runs/{len(markers):010d}.json", text)
+                return f"{self.root}/{result}"
+            except ConflictError:
+                self.files.delete(result)
+                self.files.delete(part)
+            finally:
+                self.files.delete(todo)
+        raise ConflictError("other runs kept committing first")
+
+    def vacuum(self) -> None:
+        """Deletes what failed runs left. Run it while no run is on."""
+        live = {m[k] for m in self.markers() for k in ("result", "ledger")}
+        for folder in ("todo", "result", "ledger"):
+            for n in self.files.names(folder):
+                if f"{folder}/{n}" not in live:
+                    self.files.delete(f"{folder}/{n}")
+        self.files.delete("todo")
+
+
+def transactions(deliveries: DataFrame) -> DataFrame:
+    """Upstream batches as transactions: (batch_id, version, ended); a batch begins with its first arrival and is seen whole."""
+    t = F.col("received_at").cast("timestamp_ntz")
+    return deliveries.filter("batch_id is not null").groupBy("batch_id").agg(F.min(t).alias("version"), F.max(t).alias("ended"))
+
+
+def replay(deliveries: DataFrame, root: str, runs: int = 3) -> IncrementalRun:
+    """Feeds deliveries to an ``IncrementalRun`` in ``runs`` runs, each seeing the batches there by then, old ones included.
+
+    Records are (source, position), changed where an earlier first arrival
+    appears; their version is that arrival. Batches that a run doesn't see are
+    the transactions open while it reads. Nulls identify nothing and are left
+    out, as are rows without a batch.
+    """
+    spark = deliveries.sparkSession
+    inc = IncrementalRun(spark, root, ["source", "position"], "version")
+    known = deliveries.filter("source is not null and position is not null and batch_id is not null")
+    tx = cut(transactions(deliveries))
+    ends = tx.agg(F.min("batch_id"), F.max("batch_id")).first()
+    first, last = (ends[0] or 0), (ends[1] or 0)
+    for k in range(1, runs + 1):
+        upto = first + (last - first) * k // runs
+        seen = known.filter(F.col("batch_id") <= upto)
+        records = seen.groupBy("source", "position").agg(F.min(F.col("received_at").cast("timestamp_ntz")).alias("version"))
+        opened = tx.filter(F.col("batch_id") > upto).select("version")
+        inc.run(records, lambda df: df, opened)
+    return inc

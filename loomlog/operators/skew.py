@@ -1,9 +1,12 @@
 """A few keys with most rows: fragment-replicate by estimated load.
 
-Keys' loads are counted map-side. Keys heavier than a fair share are split into
-shards in proportion; all others fall into hash buckets; shards and buckets are
-packed onto tasks, largest first. Only a plan of bounded size reaches the
-driver: at most ``tasks / share`` heavy keys and ``16 * tasks`` buckets.
+Keys are hashed to buckets, whose loads are counted map-side and stand for the
+loads of the keys in them. Buckets heavier than a fair share, which hold the
+heavy keys, are split into shards in proportion; shards and other buckets are
+packed onto tasks, largest first. Rows are then sent to the partition of their
+task, the matching side to the tasks of its keys' shards only, and joins and
+aggregates run inside the tasks without another shuffle. The plan has at most
+``BUCKETS_PER_TASK * tasks`` buckets, whatever the number of keys or rows.
 """
 
 from __future__ import annotations
@@ -15,106 +18,95 @@ from dataclasses import dataclass
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .tables import cut, fresh
+from .tables import fresh
 
 BUCKETS_PER_TASK = 16
 
 
 @dataclass
 class Plan:
-    """Where rows go: ``heavy`` has (key, load, tasks of its shards); ``bucket_task`` the task of each light bucket."""
+    """Where rows go: ``places`` has the tasks of each bucket (one, or one per shard), ``load`` each task's estimated rows."""
 
     keys: list[str]
+    types: list[str]
     tasks: int
     rows: int
-    heavy: list[tuple[tuple, int, list[int]]]
-    bucket_task: list[int]
+    places: dict[int, list[int]]
     load: list[float]
 
+    def split(self) -> int:
+        """How many buckets are split."""
+        return sum(len(t) > 1 for t in self.places.values())
+
     def imbalance(self) -> float:
         """The fullest task's estimated load over the mean; 1 is even."""
         total = sum(self.load)
         return max(self.load) * self.tasks / total if total else 1.0
 
 
-def _bucket(keys: list[str], n: int) -> Column:
-    return F.pmod(F.xxhash64(*[F.col(k) for k in keys]), F.lit(n)).cast("int")
+def _bucket(keys: list[str], types: list[str], tasks: int) -> Column:
+    hashed = F.xxhash64(*[F.col(f"`{k}`").cast(t) for k, t in zip(keys, types, strict=True)])
+    return F.pmod(hashed, F.lit(BUCKETS_PER_TASK * tasks)).cast("int")
 
 
 def plan(df: DataFrame, keys: list[str], tasks: int, share: float = 0.5) -> Plan:
     """Packs the keys of ``df`` onto ``tasks``.
 
-    A key is heavy if it has more than ``share`` of a task's mean load, so
-    there are at most ``tasks / share`` of them; it gets one shard per such
-    load. Null keys are a key like any other.
+    One pass over the key columns and one map-side aggregate; only buckets and
+    their counts are collected. A bucket of more than ``share`` of a task's
+    mean load is split into one shard per such load. Null keys are a key like
+    any other; an empty input gives an even plan.
     """
-    loads = cut(df.select(*keys).groupBy(*keys).agg(F.count(F.lit(1)).alias("__n")).withColumn("__b", _bucket(keys, tasks * BUCKETS_PER_TASK)))
-    by_bucket = loads.groupBy("__b").agg(F.sum("__n").alias("n"), F.max("__n").alias("top"))
-    buckets = {r["__b"]: r["n"] for r in by_bucket.collect()}  # at most 16 a task
+    types = [df.schema[k].dataType.simpleString() for k in keys]
+    seen = df.groupBy(_bucket(keys, types, tasks).alias("b")).agg(F.count(F.lit(1)).alias("n"))
+    buckets = {r["b"]: r["n"] for r in seen.collect()}  # at most BUCKETS_PER_TASK a task
     rows = sum(buckets.values())
     limit = max(1, math.ceil(rows * share / tasks))
-    heavy = [(tuple(r[k] for k in keys), r["__n"], r["__b"]) for r in loads.filter(F.col("__n") > limit).collect()]  # at most tasks / share
-    for _, n, b in heavy:
-        buckets[b] -= n
-    shards = {k: min(tasks, math.ceil(n / limit)) for k, n, _ in heavy}
-    pieces = [(n / shards[k], ("key", k)) for k, n, _ in heavy for _ in range(shards[k])]
-    pieces += [(n, ("bucket", b)) for b, n in buckets.items() if n]
+    pieces = [(n / k, b) for b, n in buckets.items() for k in [min(tasks, math.ceil(n / limit))] for _ in range(k)]
     load = [0.0] * tasks
     heap = [(0.0, t) for t in range(tasks)]
-    placed: dict[tuple, list[int]] = {k: [] for k, _, _ in heavy}
-    bucket_task = [b % tasks for b in range(tasks * BUCKETS_PER_TASK)]
-    for size, (kind, what) in sorted(pieces, key=lambda p: (-p[0], str(p[1]))):
+    places: dict[int, list[int]] = {b: [] for b in buckets}
+    for size, b in sorted(pieces, key=lambda p: (-p[0], p[1])):
         at, t = heapq.heappop(heap)
         load[t] = at + size
         heapq.heappush(heap, (load[t], t))
-        if kind == "key":
-            placed[what].append(t)
-        else:
-            bucket_task[what] = t
-    return Plan(keys, tasks, rows, [(k, n, placed[k]) for k, n, _ in sorted(heavy, key=lambda h: -h[1])], bucket_task, load)
-
+        places[b].append(t)
+    return Plan(keys, types, tasks, rows, places, load)
 
-def _with_heavy(df: DataFrame, p: Plan) -> tuple[DataFrame, str]:
-    """``df`` with the tasks of its heavy keys (null for light ones) in the column named."""
-    where = fresh(df, "__tasks")
-    names = [fresh(df, f"__key{i}") for i in range(len(p.keys))]
-    fields = ", ".join(f"`{n}` {df.schema[k].dataType.simpleString()}" for n, k in zip(names, p.keys, strict=True))
-    heavy = df.sparkSession.createDataFrame([(*k, tasks) for k, _, tasks in p.heavy], f"{fields}, `{where}` array<int>")
-    on = [F.col(k).eqNullSafe(F.col(n)) for n, k in zip(names, p.keys, strict=True)]
-    return df.join(F.broadcast(heavy), on, "left").drop(*names), where  # at most tasks / share rows
 
+def _with_tasks(df: DataFrame, p: Plan) -> tuple[DataFrame, str]:
+    """``df`` with the tasks of its key's bucket in the column named; a key the plan hasn't seen goes where its bucket number falls."""
+    where, b = fresh(df, "__tasks"), fresh(df, "__b")
+    table = df.sparkSession.createDataFrame(list(p.places.items()), f"`{b}` int, `{where}` array<int>")
+    bucket = _bucket(p.keys, p.types, p.tasks)
+    j = df.withColumn(b, bucket).join(F.broadcast(table), b, "left")  # at most BUCKETS_PER_TASK rows a task
+    return j.withColumn(where, F.coalesce(where, F.array(F.pmod(F.col(b), F.lit(p.tasks)).cast("int")))).drop(b), where
 
-def _light(p: Plan) -> Column:
-    return F.element_at(F.array(*[F.lit(t) for t in p.bucket_task]), _bucket(p.keys, len(p.bucket_task)) + 1)
 
+def place(df: DataFrame, p: Plan, salt: list[str], name: str = "__task") -> DataFrame:
+    """``df`` with each row in the partition of its task, whose number is in ``name``, for per-task work of any kind.
 
-def assign(df: DataFrame, p: Plan, salt: list[str], name: str = "__task") -> DataFrame:
-    """Adds ``name``, each row's task; a heavy key's rows spread over its shards by a hash of ``salt``, the same in every attempt."""
-    if not p.heavy:
-        return df.withColumn(name, _light(p))
-    out, where = _with_heavy(df, p)
+    A split bucket's rows spread over its shards by a hash of ``salt``, the
+    same in every attempt; so ``salt`` must differ between a key's rows.
+    """
+    out, where = _with_tasks(df, p)
     shard = F.pmod(F.xxhash64(*[F.col(c) for c in salt], F.lit("shard")), F.size(where)).cast("int")
-    task = F.when(F.col(where).isNotNull(), F.element_at(where, shard + 1)).otherwise(_light(p))
-    return out.withColumn(name, task).drop(where)
+    return out.withColumn(name, F.element_at(where, shard + 1)).drop(where).repartitionById(p.tasks, F.col(name))
 
 
-def place(df: DataFrame, p: Plan, salt: list[str], name: str = "__task") -> DataFrame:
-    """``df`` with each row in the partition of its task, for per-task work of any kind."""
-    return assign(df, p, salt, name).repartitionById(p.tasks, F.col(name))
+def replicate(side: DataFrame, p: Plan, name: str = "__task") -> DataFrame:
+    """The matching side, in the partitions of its tasks: a key's rows go to the tasks of its bucket's shards only."""
+    out, where = _with_tasks(side, p)
+    return out.withColumn(name, F.explode(F.array_distinct(where))).drop(where).repartitionById(p.tasks, F.col(name))
 
 
-def replicate(side: DataFrame, p: Plan, name: str = "__task") -> DataFrame:
-    """The matching side: a light key's rows go to its task, a heavy key's to the tasks of its shards only."""
-    tasks, where = F.array(_light(p)), None
-    if p.heavy:
-        side, where = _with_heavy(side, p)
-        tasks = F.coalesce(F.array_distinct(where), tasks)
-    out = side.withColumn(name, F.explode(tasks))
-    return out.drop(where) if where else out
+def measured(placed: DataFrame) -> DataFrame:
+    """(partition, rows): how many rows each partition of a placed table really has."""
+    return placed.groupBy(F.spark_partition_id().alias("partition")).agg(F.count(F.lit(1)).alias("rows"))
 
 
 def balanced_join(df: DataFrame, side: DataFrame, keys: list[str], salt: list[str], tasks: int, share: float = 0.5, p: Plan | None = None) -> DataFrame:
-    """Inner join on ``keys`` (null keys match nothing) without hot tasks: by key and task.
+    """Inner join on ``keys`` (null keys match nothing) inside the plan's tasks.
 
     Other columns of ``side`` that ``df`` has too get the suffix ``_side``.
     """
@@ -122,18 +114,19 @@ def balanced_join(df: DataFrame, side: DataFrame, keys: list[str], salt: list[st
     have = {c.lower() for c in df.columns}
     side = side.select(*[F.col(f"`{c}`").alias(c if c in keys or c.lower() not in have else f"{c}_side") for c in side.columns])
     task = fresh(side, fresh(df, "__task"))
-    return assign(df, p, salt, task).join(replicate(side, p, task).hint("shuffle_merge"), [*keys, task]).drop(task)
+    return place(df, p, salt, task).join(replicate(side, p, task).hint("shuffle_merge"), [*keys, task]).drop(task)
 
 
 def balanced_aggregate(df: DataFrame, keys: list[str], salt: list[str], partial: dict[str, Column], merge: dict[str, Column], tasks: int, p: Plan | None = None) -> DataFrame:
-    """Per-key aggregates in two steps: per key and task (combined map-side), then per key.
+    """Per-key aggregates of any kind: per key inside the plan's tasks, then the few shards of a key together.
 
     ``partial`` makes columns that ``merge`` puts together by name. Adds
-    ``shards``, over how many tasks the key was spread.
+    ``shards``, over how many tasks the key was spread. The columns used must
+    be in ``df``; take others away first, all columns are moved once.
     """
     p = p or plan(df, keys, tasks)
     task = fresh(df, "__task")
-    parts = assign(df, p, salt, task).groupBy(*keys, task).agg(*[c.alias(n) for n, c in partial.items()])
+    parts = place(df, p, salt, task).groupBy(*keys, task).agg(*[c.alias(n) for n, c in partial.items()])
     return parts.groupBy(*keys).agg(*[c.alias(n) for n, c in merge.items()], F.count(F.lit(1)).alias("shards"))
 
 

@@ -10,6 +10,9 @@ from pyspark.sql import functions as F
 from pyspark.sql.window import Window as W
 
 
+HOT_ROWS = 10_000  # rows of one value that a task takes without harm
+
+
 def shared_dir(spark: SparkSession) -> str:
     """The folder that all executors share: ``spark.checkpoint.dir``, or the context's.
 
@@ -25,19 +28,24 @@ def shared_dir(spark: SparkSession) -> str:
     return at
 
 
+def session_path(spark: SparkSession) -> str:
+    """A new path in the shared folder, of those that ``release`` removes."""
+    return f"{shared_dir(spark)}/loomlog-{spark.sparkContext.applicationId}/{uuid.uuid4().hex}"
+
+
 def cut(df: DataFrame) -> DataFrame:
     """``df`` as a table written to the shared folder, with no lineage behind it.
 
     It survives lost executors. ``release`` removes all of a session's tables.
     """
     spark = df.sparkSession
-    path = f"{shared_dir(spark)}/loomlog-{spark.sparkContext.applicationId}/{uuid.uuid4().hex}"
+    path = session_path(spark)
     df.write.parquet(path)
     return spark.read.schema(df.schema).parquet(path)
 
 
 def release(spark: SparkSession) -> None:
-    """Deletes the tables that ``cut`` wrote in this session; frames built on them can't be read any more."""
+    """Deletes what this session wrote under ``session_path``, all tables of ``cut`` among it; frames built on them can't be read any more."""
     jvm = spark.sparkContext._jvm
     path = jvm.org.apache.hadoop.fs.Path(f"{shared_dir(spark)}/loomlog-{spark.sparkContext.applicationId}")
     path.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(path, True)
@@ -51,22 +59,23 @@ def fresh(df: DataFrame, name: str) -> str:
     return name
 
 
-def join_counted(df: DataFrame, side: DataFrame, on: str, count: str) -> DataFrame:
-    """Left join on one column that is unique in ``side``, where ``count`` says how many rows of ``df`` have it.
+def join_split(df: DataFrame, side: DataFrame, on: list[str], counts: DataFrame | None = None) -> DataFrame:
+    """Left join on columns that are unique in ``side`` and not null in ``df``, whatever values are hot.
 
-    Values that more than one in ``tasks`` of these rows have, which are fewer
-    than ``tasks``, are joined by broadcast; only the rest is shuffled, so no
-    task gets a hot value. Every value of ``df`` that ``side`` lacks, and null,
-    must be rare. ``count`` is dropped.
+    The ``tasks`` most frequent values of more than ``HOT_ROWS`` rows meet their
+    side by broadcast; any other value has less than one in ``tasks`` of the
+    rows and is shuffled. ``counts`` (``on`` and ``n``) says how often values
+    stand in ``df``; without it they are counted, map-side first.
     """
-    tasks = int(df.sparkSession.conf.get("spark.sql.shuffle.partitions"))
-    limit = (side.agg(F.sum(count)).first()[0] or 0) // tasks
-    heavy = F.broadcast(side.filter(F.col(count) > limit).drop(count).withColumn("__hit", F.lit(True)))  # fewer than tasks rows
-    j = df.join(heavy, on, "left")
-    hot = j.filter("__hit").drop("__hit")
-    rest = j.filter("__hit is null").select(*df.columns)
-    light = rest.join(side.filter(F.col(count) <= limit).drop(count), on, "left")
-    return hot.unionByName(light)
+    spark = df.sparkSession
+    tasks = int(spark.conf.get("spark.sql.shuffle.partitions"))
+    counts = df.groupBy(*on).agg(F.count(F.lit(1)).alias("n")) if counts is None else counts
+    hot = counts.filter(F.col("n") > HOT_ROWS).orderBy(F.desc("n")).limit(tasks).select(*on).collect()  # at most tasks rows
+    if not hot:
+        return df.join(side, on, "left")
+    keys = F.broadcast(spark.createDataFrame([tuple(r) for r in hot], counts.select(*on).schema))
+    few = F.broadcast(side.join(keys, on, "left_semi"))  # at most a row per key
+    return df.join(keys, on, "left_semi").join(few, on, "left").unionByName(df.join(keys, on, "left_anti").join(side, on, "left"))
 
 
 def chunked(df: DataFrame, by: list[Column], chunks: int | None = None, name: str = "__chunk") -> DataFrame:
