@@ -11,7 +11,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window as W
 
-from ..operators.tables import cut, join_counted
+from ..operators.tables import cut, join_split
 from .mail import parse
 
 #: What senders and stores put after text they cut: fixed forms.
@@ -223,7 +223,8 @@ def evidence(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", source
     facts = finals.join(known, "w", "left").join(node, "w", "left").withColumnRenamed("w", "tail")
     # Texts without a final word stay out of the join; frequent final words meet their facts by a bounded broadcast.
     ends = F.col("plain") & (F.col("tail") != "")
-    named = join_counted(d.filter(ends), cut(facts), "tail", "docs")
+    facts = cut(facts)
+    named = join_split(d.filter(ends), facts.drop("docs"), ["tail"], facts.select("tail", F.col("docs").alias("n")))
     bare = d.filter(~F.coalesce(ends, F.lit(False)))
     lim = limits(s)
     as_limit = lambda unit: lim.filter(F.col("unit") == unit).select(F.col("source").alias("__s"), F.col("size").alias(f"__{unit}"))
