@@ -77,10 +77,17 @@ def p6_found(spark: SparkSession, d: str) -> DataFrame:
 
 
 def p6_table(spark: SparkSession, d: str) -> DataFrame:
-    """All events with their fields under canonical names, as sorted ``name=value`` text."""
+    """All events with their typed fields under canonical names, as sorted ``name=value`` text; second values of a name beside them."""
     u = drift.unified(event_log(spark, d), table(spark, d, "log_segments"))
-    pairs = F.transform(F.array_sort(F.map_entries("fields")), lambda e: F.concat(e["key"], F.lit("="), e["value"]))
-    return u.select("position", "segment_id", "event_type", F.array_join(pairs, "\n").alias("fields"), F.col("unread").cast("string").alias("unread"))
+    pairs = F.array_sort(F.transform(F.map_entries("fields"), lambda e: F.concat(e["key"], F.lit("="), e["value"].cast("string"))))
+    more = F.transform("conflicts", lambda e: F.concat(e["field"], F.lit("<"), e["raw"], F.lit("="), e["value"].cast("string")))
+    text = [F.array_join(pairs, "\n").alias("fields"), F.array_join(more, "\n").alias("conflicts")]
+    return u.select("position", "segment_id", "event_type", *text, F.col("unread").cast("string").alias("unread"))
+
+
+def p6_conflicts(spark: SparkSession, d: str) -> DataFrame:
+    """Where events hold several values under one canonical name."""
+    return drift.conflicts(drift.unified(event_log(spark, d), table(spark, d, "log_segments")))
 
 
 def queries() -> Queries:
@@ -96,6 +103,7 @@ def queries() -> Queries:
         "p5_gap_join": p5_gap_join,
         "p6_found": p6_found,
         "p6_table": p6_table,
+        "p6_conflicts": p6_conflicts,
     }
 
 

@@ -5,6 +5,7 @@ import json
 import random
 from collections import Counter
 
+import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
@@ -271,19 +272,34 @@ def test_heavy_keys(spark):
 
 def test_forms_and_likeness():
     assert drift.form("BK123") == "BK9" and drift.form("u-77") == "u-9" and drift.form("deadbeef12ab34cd") == "x16" and drift.form("a b c") == "text"
-    assert drift.value_form("[\"q1\",\"q22\"]", "array") == "[q9]" and drift.value_form('{"b":1,"a":{"c":2}}', "object") == "{a,b,c}"
-    assert drift.value_form(None, "string") == "" and drift.name_likeness("data.windKn", "data.wind_kn") == 1.0
+    assert drift.value_form("[\"q1\",\"q22\"]", "array") == ("[q9]", ["q9"]) and drift.value_form('{"b":1,"a":{"c":2}}', "object") == ("{a,b,c}", ["a", "b", "c"])
+    assert drift.value_form(None, "string") == ("", []) and drift.name_likeness("data.windKn", "data.wind_kn") == 1.0
 
 
-def test_flooding_prefers_consistent_pairs():
-    def f(name, kind="string", forms=(("a", 10),), words=((1, 5), (2, 5)), n=10, distinct=2, rng=None):
-        return {"name": name, "kind": kind, "n": n, "distinct": distinct, "range": rng, "forms": [{"form": a, "n": b} for a, b in forms], "words": [{"h": a, "n": b} for a, b in words]}
+def test_flooding_decides():
+    def f(name, kind="string", n=10, distinct=2, rng=None, wordy=1.0, nested=0.0):
+        return {"name": name, "kind": kind, "n": n, "distinct": distinct, "range": rng, "wordy": wordy, "nested_sum": nested}
 
-    colour, size = ((1, 5), (2, 5)), ((8, 5), (9, 5))
-    gone = [f("data.colour", words=colour), f("data.size", words=size), f("data.n", "integer", rng=[1, 5, 9])]
-    come = [f("data.extent", words=size), f("data.tint", words=colour), f("data.far", "integer", rng=[9000, 9500, 9900]), f("metadata.tint", words=colour)]
-    assert sorted(drift.match_fields(gone, come, [])) == [("data.colour", "data.tint"), ("data.size", "data.extent")]
-    assert drift.match_fields([], come, ["data.x"]) == []
+    same = {"shared_old": 10.0, "shared_new": 10.0, "forms": 1.0, "nested": 0.0}
+    apart = {"shared_old": 0.0, "shared_new": 0.0, "forms": 1.0, "nested": 0.0}
+    gone = [f("data.colour"), f("data.size"), f("data.n", "integer", rng=[1, 5, 9])]
+    come = [f("data.extent"), f("data.tint"), f("data.far", "integer", rng=[9000, 9500, 9900]), f("metadata.tint")]
+    pairs = {("data.colour", "data.tint"): same, ("data.size", "data.extent"): same, ("data.colour", "data.extent"): apart, ("data.size", "data.tint"): apart}
+    assert sorted(drift.match_fields(gone, come, ["data.x"], pairs)) == [("data.colour", "data.tint"), ("data.size", "data.extent")]
+    assert drift.match_fields([], come, ["data.x"], {}) == []
+    # Nested names decide where forms alone are in doubt.
+    box = [f("data.box", "object", nested=3.0)], [f("data.crate", "object", nested=3.0), f("data.spot", "object", nested=3.0)]
+    half = {"shared_old": 0.0, "shared_new": 0.0, "forms": 0.5}
+    nested = {("data.box", "data.crate"): half | {"nested": 2.9}, ("data.box", "data.spot"): half | {"nested": 0.3}}
+    assert drift.match_fields(*box, [], nested) == [("data.box", "data.crate")]
+    assert drift.match_fields(box[0], box[1][1:], [], nested) == []
+
+
+def test_flood_is_sparse_and_settles():
+    n = 200_000
+    ends = np.stack([np.arange(1, n), np.zeros(n - 1, np.int64)], 1)
+    score = drift.flood(np.linspace(0, 1, n), ends)
+    assert score.max() == 1.0 and (np.diff(score[1:]) >= 0).all()
 
 
 def test_changes(spark):
@@ -321,11 +337,32 @@ def test_changes(spark):
     }
     table = {r["position"]: r for r in drift.unified(df, seg).collect()}
     assert len(table) == len(events)
-    assert table[1]["fields"]["data.code"] == "BK0" and table[25]["fields"]["data.code"].startswith("BK5") and table[1]["event_type"] == "Ship"
+    text = lambda p: {k: v.toPython() for k, v in table[p]["fields"].items()}
+    assert text(1)["data.code"] == "BK0" and text(25)["data.code"].startswith("BK5") and table[1]["event_type"] == "Ship"
+    assert text(3)["data.n"] == "2" and text(3)["data.keep"] is True and text(30)["data.more"] == [1]  # n became text
+    assert not any(r["conflicts"] for r in table.values())
     assert table[21]["unread"] and not table[1]["unread"]
     assert drift.changes(df.limit(0), seg).count() == 0
 
 
+def test_unified_keeps_both_values_of_a_name(spark):
+    """A producer that sends both names of a renamed field, a key twice, kinds that meet: nothing is lost."""
+    doc = lambda **k: json.dumps(k).encode()
+    old = [event(i, "T", [], doc(old=i, w=1)) for i in range(1, 21)]
+    new = [event(20 + i, "T", [], doc(new=i, w=2.5)) for i in range(1, 21)]
+    both = [event(41, "T", [], doc(new=5, old=6, x=None, w=3), [("k", "a"), ("k", "b"), (None, "c"), ("z", None)]), event(42, "T", [], b"nonsense")]
+    df = log_of(spark, old + new + both)
+    seg = spark.createDataFrame([(1, "a", 1, 20), (2, "a", 21, 42)], "segment_id bigint, volume_name string, first_position bigint, last_position bigint")
+    u = drift.unified(df, seg)
+    t = {r["position"]: r for r in u.collect()}
+    py = lambda m: {k: v.toPython() for k, v in m.items()}
+    assert py(t[1]["fields"]) == {"data.old": 1, "data.w": 1.0} and py(t[21]["fields"]) == {"data.old": 1, "data.w": 2.5}
+    assert py(t[41]["fields"]) == {"data.old": 6, "data.w": 3.0, "metadata.k": "a"}
+    assert [(c["field"], c["raw"], c["value"].toPython()) for c in t[41]["conflicts"]] == [("data.old", "data.new", 5), ("metadata.k", "metadata.k", "b")]
+    assert t[42]["unread"] and not t[42]["fields"] and len(t) == 42
+    assert {tuple(r) for r in drift.conflicts(u).collect()} == {("T", "data.old", "data.new", 1), ("T", "metadata.k", "metadata.k", 1)}
+
+
 def test_base_type(spark):
     names = {"Tow.v2": "Tow", "TowV3": "Tow", "Tow_v12": "Tow", "Tow@5": "Tow", "Tow": "Tow", "": "", "Tow-2": "Tow", "View": "View"}
     df = spark.createDataFrame([(k,) for k in names], "t string")
