@@ -62,16 +62,23 @@ def p7_fill(spark: SparkSession, d: str) -> DataFrame:
     return b.agg(F.count(F.lit(1)).alias("containers"), F.ceil(total / 2048).alias("least"), F.max("t").alias("fullest"), total.alias("tokens"), F.round(1 - total / (F.count(F.lit(1)) * 2048), 5).alias("unused"))
 
 
+def p8_method(spark: SparkSession, d: str) -> DataFrame:
+    """The named method alone: item-sized windows within the Hamming radius, alike by their weighted shingles."""
+    out = leaks.find_leaks(table(spark, d, "documents"), table(spark, d, "eval_items"), exact=False)
+    return out.select("doc_id", "item_id", "near_windows", F.round("best", 6).alias("best"))
+
+
 def p8_found(spark: SparkSession, d: str) -> DataFrame:
-    """Documents with the items of which they hold at least 12 words in a row."""
-    out = leaks.find_leaks(table(spark, d, "documents"), table(spark, d, "eval_items"))
-    return out.filter("exact_windows > 0").select("doc_id", "item_id")
+    """Documents with the items of which they hold at least 12 words in a row: the operator's 12-word windows."""
+    out = leaks.find_leaks(table(spark, d, "documents"), table(spark, d, "eval_items"), near=False)
+    return out.select("doc_id", "item_id")
 
 
 def p8_items(spark: SparkSession, d: str) -> DataFrame:
-    """The leaked items: in how many documents, the longest passage, near matches included."""
+    """The leaked items: in how many documents, how many of these only nearly, the longest passage."""
     out = leaks.find_leaks(table(spark, d, "documents"), table(spark, d, "eval_items"))
-    return out.groupBy("item_id").agg(F.count(F.lit(1)).alias("docs"), F.max("longest_run").alias("longest_run"), F.sum("windows").alias("windows"), F.sum("exact_windows").alias("exact_windows"))
+    only = F.sum(F.when(F.col("exact_windows") == 0, 1).otherwise(0))
+    return out.groupBy("item_id").agg(F.count(F.lit(1)).alias("docs"), only.alias("near_only"), F.max("longest_run").alias("longest_run"), F.sum("exact_windows").alias("exact_windows"), F.sum("near_windows").alias("near_windows"))
 
 
 def p9_method(spark: SparkSession, d: str) -> DataFrame:
@@ -102,6 +109,7 @@ def queries() -> Queries:
         "p4_top": p4_top,
         "p7_packed": p7_packed,
         "p7_fill": p7_fill,
+        "p8_method": p8_method,
         "p8_found": p8_found,
         "p8_items": p8_items,
         "p9_method": p9_method,

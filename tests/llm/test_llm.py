@@ -221,11 +221,11 @@ def brute(docs, items, size):
     return found
 
 
-def test_leaks(spark):
+def leak_tables(spark):
     rng = random.Random(7)
     texts = passages(rng, 40)
-    items = [(k, t) for k, t in enumerate(texts)] + [(50, "too short"), (51, None), (52, "")]
-    docs = [(1, None), (2, ""), (3, "From: x\n\nnothing of the kind here")]
+    items = [(k, t) for k, t in enumerate(texts)] + [(50, "too short"), (51, None), (52, ""), (None, texts[0])]
+    docs = [(1, None), (2, ""), (3, "From: x\n\nnothing of the kind here"), (None, texts[0])]
     for k in range(60):
         w = texts[k % 8].split()
         lo, n = rng.randrange(20), rng.choice([8, 11, 12, 13, 20, 40])
@@ -241,51 +241,86 @@ def test_leaks(spark):
             body = "From: x\nContent-Type: text/html\n\n<html>" + body.replace("*", "<b>").replace(">", "&gt;", 0) + "</html>"
         docs.append((100 + k, body))
     docs += [(500, texts[0] + " and then " + texts[1]), (500, texts[0]), (501, (texts[2] + " ") * 500)]
-    d = spark.createDataFrame(docs, "doc_id bigint, text string").withColumn("item_id", F.lit(1)).repartition(3)
-    i = spark.createDataFrame(items, "item_id bigint, text string").withColumn("doc_id", F.lit(1))
+    d = spark.createDataFrame(docs, "doc_id bigint, text string").withColumn("item_id", F.lit(1)).withColumn("row", F.lit("x")).repartition(3)
+    i = spark.createDataFrame(items, "item_id bigint, text string").withColumn("doc_id", F.lit(1)).withColumn("words", F.lit("x"))
+    keep = lambda rows: [r for r in rows if r[0] is not None]
+    return d, i, brute(keep(docs), keep(items), 12)
+
+
+def test_leaks(spark, monkeypatch):
+    d, i, want = leak_tables(spark)
     out = leaks.find_leaks(d, i).collect()
-    assert {(r["doc_id"], r["item_id"]) for r in out if r["exact_windows"]} == brute(docs, items, 12)
+    assert {(r["doc_id"], r["item_id"]) for r in out if r["exact_windows"]} == want
     assert len(out) == len({(r["doc_id"], r["item_id"]) for r in out})
     one = next(r for r in out if (r["doc_id"], r["item_id"]) == (500, 0))
     assert one["longest_run"] == 40 and one["best"] == 1.0 and one["exact_windows"] == 58
+    whole = next(r for r in out if (r["doc_id"], r["item_id"]) == (501, 2))
+    assert whole["exact_windows"] >= 500 * 29 and whole["longest_run"] >= 40
+    # in several passes, and with items too many to broadcast, the rows are the same
+    monkeypatch.setattr(leaks, "NEAR_AT_ONCE", 4)
+    monkeypatch.setattr(leaks, "FEW_WINDOWS", 1)
+    assert sorted(map(str, leaks.find_leaks(d, i).collect())) == sorted(map(str, out))
     assert leaks.find_leaks(d.limit(0), i).count() == 0 and leaks.find_leaks(d, i.limit(0)).count() == 0
 
 
-def test_leaks_in_passes(spark, monkeypatch):
-    rng = random.Random(8)
-    texts = passages(rng, 20)
-    d = spark.createDataFrame([(k, t) for k, t in enumerate(texts)], "doc_id bigint, text string")
-    i = spark.createDataFrame([(k, t) for k, t in enumerate(texts)], "item_id bigint, text string")
-    monkeypatch.setattr(leaks, "ITEMS_PER_PASS", 3)
-    monkeypatch.setattr(leaks, "WORDS_PER_PASS", 30)  # items of 20 words are cut in two
-    assert {(r["doc_id"], r["item_id"], r["exact_windows"]) for r in leaks.find_leaks(d, i).collect()} >= {(k, k, 9) for k in range(8)}
-
-
-def test_block_index_misses_nothing():
+def test_near_leaks_are_found(spark):
+    """Whole items with changed, added and dropped words: of those alike to 0.8 at least nine in ten are met."""
+    rng = random.Random(11)
+    vocab = [f"word{k}" for k in range(900)]
+    items = [[vocab[int(900 * rng.random() ** 2)] for _ in range(rng.randrange(30, 150))] for _ in range(60)]
+    h = [leaks.hashed(" ".join(x)) for x in items]
+    with_ = np.zeros(leaks.BUCKETS, np.int64)
+    for x in h:
+        with_[np.unique(x & (leaks.BUCKETS - 1))] += 1
+    weights = leaks.weigh(with_, len(items))
+    docs, want = [], set()
+    for k in range(240):
+        i = k % 60
+        part = list(items[i])
+        for _ in range(rng.randrange(1, 4)):
+            at, how = rng.randrange(len(part)), rng.choice("cad")
+            part[at : at + (how != "a")] = [] if how == "d" else [f"other{rng.randrange(50)}"]
+        docs.append((k, " ".join([*rng.choices(vocab, k=30), *part, *rng.choices(vocab, k=30)])))
+        d, s = leaks.hashed(docs[-1][1]), leaks.size_class(len(items[i]), 12)
+        offs = {0, len(items[i]) - s}
+        if any(leaks.similarity(d[p : p + s], h[i][o : o + s], weights) >= 0.8 for o in offs for p in range(25, min(len(d) - s, 40 + len(items[i]) - s) + 1)):
+            want.add((k, i))
+    out = leaks.find_leaks(spark.createDataFrame(docs, "doc_id bigint, text string"), spark.createDataFrame([(k, " ".join(x)) for k, x in enumerate(items)], "item_id bigint, text string"), exact=False)
+    got = {(r["doc_id"], r["item_id"]) for r in out.collect() if r["near_windows"] and r["best"] >= 0.8}
+    assert got <= want and len(want) > 60
+    assert len(got) >= 0.9 * len(want), (len(got), len(want))
+
+
+@pytest.mark.parametrize("radius", [3, 7])
+def test_block_index_misses_nothing(radius):
     rng = np.random.default_rng(9)
-    p = leaks.build([(k, t) for k, t in enumerate(passages(random.Random(9), 60))])
-    near = p.prints[rng.integers(0, len(p.prints), 300)].copy()
+    prints = rng.integers(0, 2**63, 200).astype(np.uint64)
+    p = leaks.Near(prints, radius)
+    near = prints[rng.integers(0, len(prints), 300)].copy()
     for k in range(len(near)):
-        for b in rng.choice(64, rng.integers(0, 6), replace=False):
+        for b in rng.choice(64, rng.integers(0, radius + 3), replace=False):
             near[k] ^= np.uint64(1) << np.uint64(b)
-    win, probe = leaks.candidates(near, p)
-    want = {(a, b) for a in range(len(near)) for b in range(len(p.prints)) if int(near[a] ^ p.prints[b]).bit_count() <= p.radius}
+    win, probe = p.candidates(near)
+    want = {(a, b) for a in range(len(near)) for b in range(len(prints)) if int(near[a] ^ prints[b]).bit_count() <= radius}
     assert set(zip(win.tolist(), probe.tolist(), strict=True)) == want
 
 
 def test_fingerprints_and_similarity():
     rng = np.random.default_rng(1)
-    vectors = rng.integers(-20, 20, (30, 64)).astype(np.int16)
-    ids = rng.integers(0, 30, 9000).astype(np.int32)
-    for size in (1, 5, 12, 16):
-        got = leaks.fingerprints(ids, vectors, size)
-        for k in (0, 17, 4095, 4096, len(got) - 1):
-            bits = vectors[ids[k : k + size]].astype(int).sum(axis=0) > 0
-            assert got[k] == sum(1 << b for b in range(64) if bits[b])
-    a = np.array([[1, 2, 3, 4, 5, 6, 7], [1, 1, 1, 1, 1, 1, 1]])
-    b = np.array([[1, 2, 3, 4, 5, 6, 8], [1, 1, 1, 1, 1, 1, 1]])
-    w = np.ones(9, np.int32)
-    assert leaks.similarity(a, b, w).tolist() == [2 / 4, 1.0]
+    weights = rng.integers(0, 20, leaks.BUCKETS).astype(np.int16)
+    ids = rng.integers(-(2**62), 2**62, 9000)
+    ids[100] = 0
+    got = leaks.fingerprints(ids, weights, [1, 5, 12, 16, 5000])
+    for size, prints in got.items():
+        assert len(prints) == 9000 - size + 1
+        for k in (0, 17, 95, len(prints) // 2, len(prints) - 1):
+            h = ids[k : k + size]
+            w = np.where(h == 0, 0, weights[h & (leaks.BUCKETS - 1)]).astype(int)
+            assert prints[k] == sum(1 << b for b in range(64) if (w * (2 * ((h >> b) & 1) - 1)).sum() > 0)
+    w = np.ones(leaks.BUCKETS, np.int16)
+    a, b = np.array([1, 2, 3, 4, 5, 6, 7]), np.array([1, 2, 3, 4, 5, 6, 8])
+    assert leaks.similarity(a, b, w) == 2 / 4 and leaks.similarity(np.ones(7, np.int64), np.ones(7, np.int64), w) == 1.0
+    assert [leaks.size_class(n, 12) for n in (12, 13, 14, 15, 146)] == [12, 13, 13, 15, 129]
 
 
 # Truncation
