@@ -16,6 +16,7 @@ from ..plans.access import tag_index
 from ..plans.compiler import is_match_all
 from .tables import chunked
 
+FEW_KEYS = 100_000  # keys that may be broadcast
 ITEM_SCHEMA = "req int, item int, types array<string>, tags array<string>, after bigint, n int"
 
 
@@ -118,7 +119,11 @@ def check_conditions(log: DataFrame, conditions: DataFrame) -> DataFrame:
     found = asked.filter("t is null and e is null").crossJoin(head).select("req", F.when(step <= F.col("head"), step).alias("p"))
     if per_event:
         wanted = asked.filter("t is not null or e is not null").select("req", shape(F.col("t"), F.col("e")).alias("key"), "after")
-        found = found.unionByName(next_match(log.select("position", F.explode(F.concat(*per_event)).alias("key")), wanted))
+        events = log.select("position", F.explode(F.concat(*per_event)).alias("key"))
+        keys = wanted.select("key").distinct()
+        if keys.limit(FEW_KEYS + 1).count() <= FEW_KEYS:  # few are asked for: leave out other events before anything moves
+            events = events.join(F.broadcast(keys), "key", "left_semi")
+        found = found.unionByName(next_match(events, wanted))
     return found.select("req", F.col("p").isNotNull().alias("violated"), F.col("p").alias("first_match"))
 
 

@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import uuid
 from collections.abc import Callable, Iterator
 
 from pyspark.sql import DataFrame
@@ -80,7 +81,8 @@ class ReadResponse:
     than one partition besides.
     """
 
-    def __init__(self, frame: DataFrame, head: Callable[[], int | None], limit: int | None, batch: int = 1024):
+    def __init__(self, frame: DataFrame, head: Callable[[], int | None], limit: int | None, batch: int = 1024, backwards: bool = False):
+        self._backwards, self._tag = backwards, f"read-{uuid.uuid4().hex}"
         self.frame, self._head, self._limit = frame, head, limit
         self.batch = min(max(1, batch), 4096)
         self._rows: Iterator | None = None
@@ -94,7 +96,12 @@ class ReadResponse:
         if self._cancelled:
             raise StopIteration
         if self._rows is None:
-            self._rows = self.frame.toLocalIterator(prefetchPartitions=True)
+            sc = self.frame.sparkSession.sparkContext
+            sc.addJobTag(self._tag)
+            try:
+                self._rows = self.frame.toLocalIterator(prefetchPartitions=True)
+            finally:
+                sc.removeJobTag(self._tag)
         e = to_event(next(self._rows))
         self._last = e.position
         return e
@@ -108,12 +115,12 @@ class ReadResponse:
         return out
 
     def head(self) -> int | None:
-        """The snapshot's head; under a limit, the position of the last event so far (one is fetched if none was)."""
+        """The snapshot's head; under a limit, the position of the last event so far, or of the whole read if none was fetched yet."""
         if self._limit is None:
             return self._head()
-        if self._last is None and not self._cancelled:
-            first = self.frame.take(self._limit) if self._limit else []
-            self._last = first[-1]["position"] if first else None
+        if self._last is None and not self._cancelled and self._limit:
+            end = F.min("position") if self._backwards else F.max("position")
+            self._last = self.frame.agg(end).first()[0]
         return self._last
 
     def collect_with_head(self) -> tuple[list[SequencedEvent], int | None]:
@@ -121,8 +128,9 @@ class ReadResponse:
         return out, self._head() if self._limit is None else self._last
 
     def cancel(self) -> None:
-        """Ends this response; later calls return nothing."""
+        """Ends this response and stops its running jobs; later calls return nothing."""
         self._cancelled = True
+        self.frame.sparkSession.sparkContext.cancelJobsWithTag(self._tag)
         self._rows = iter(())
 
     def raise_if_cancelled(self) -> None:

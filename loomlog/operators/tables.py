@@ -93,22 +93,22 @@ def chunked(df: DataFrame, by: list[Column], chunks: int | None = None, name: st
 def global_rank(df: DataFrame, by: list[Column], name: str = "seq", start: int = 0, chunks: int | None = None) -> DataFrame:
     """Adds 1, 2, ... along ``by`` (plus ``start``), without one window over all rows.
 
-    Rows are range-partitioned, counted per chunk, and ranked inside the chunk;
-    only one count per chunk meets on the driver's side of the plan. ``by``
-    should be total: rows that tie may get each other's number, and equal
-    values all fall into one chunk. A column called ``name`` is replaced.
+    Rows are shuffled once, by range; each partition is sorted and its rows are
+    numbered while they are written; one count per partition is broadcast.
+    ``by`` should be total: rows that tie may get each other's number, and
+    equal values all fall into one partition. A column called ``name`` is
+    replaced.
     """
+    spark = df.sparkSession
     chunk, within, before = (fresh(df, c) for c in ("__chunk", "__in", "__before"))
-    t = chunked(df, by, chunks, chunk)
+    n = chunks or int(spark.conf.get("spark.sql.shuffle.partitions"))
+    # The low 33 bits of the id count a partition's rows in their order.
+    inside = F.monotonically_increasing_id().bitwiseAND(F.lit((1 << 33) - 1)) + 1
+    t = cut(df.repartitionByRange(n, *by).sortWithinPartitions(*by).withColumns({chunk: F.spark_partition_id(), within: inside}))
     per = t.groupBy(chunk).agg(F.count(F.lit(1)).alias("n"))
     so_far = F.sum("n").over(W.orderBy(chunk).rowsBetween(W.unboundedPreceding, -1))  # one row a chunk
     offsets = per.select(chunk, F.coalesce(so_far, F.lit(0)).alias(before))
-    return (
-        t.withColumn(within, F.row_number().over(W.partitionBy(chunk).orderBy(*by)))
-        .join(F.broadcast(offsets), chunk)  # as many rows as chunks
-        .withColumn(name, F.col(within) + F.col(before) + F.lit(start))
-        .drop(chunk, within, before)
-    )
+    return t.join(F.broadcast(offsets), chunk).withColumn(name, F.col(within) + F.col(before) + F.lit(start)).drop(chunk, within, before)  # as many rows as chunks
 
 
 def range_lookup(df: DataFrame, point: str, ranges: DataFrame, first: str, last: str, broadcast_rows: int = 500_000) -> DataFrame:

@@ -10,10 +10,13 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from ..model import Query
-from ..operators.tables import fresh
+from ..operators.tables import cut, fresh
 from .compiler import bounds_column, is_match_all, query_column
 
 
+BROADCAST_BYTES = 32 << 20
+
+
 def tag_index(log: DataFrame) -> DataFrame:
     """(tag, position), each tag once per event, whatever the event repeats.
 
@@ -57,13 +60,23 @@ def index_hits(index: DataFrame, query: Query, start: int | None = None, backwar
 
 
 def index_plan(log: DataFrame, index: DataFrame, query: Query, start: int | None = None, backwards: bool = False) -> DataFrame:
-    """Division on the index, then the events by position, then the types of the items that hit."""
+    """Division on the index, then the events by position, then the types of the items that hit.
+
+    The hits, positions and item numbers, are written and measured first. Few
+    enough, they are broadcast and their bounds reach the scan of the log, so
+    that payloads are fetched last and moved nowhere; else both sides are
+    shuffled by position.
+    """
     hits = index_hits(index, query, start, backwards)
     typed = [(qi, t) for qi, i in enumerate(query.items) for t in set(i.types)]
     free = [qi for qi, i in enumerate(query.items) if not i.types]
     qis = fresh(log, "__items")
-    per_event = hits.groupBy("position").agg(F.collect_set("qi").alias(qis))  # at most one entry per item
+    per_event = cut(hits.groupBy("position").agg(F.collect_set("qi").alias(qis)))  # at most one entry per item
+    size = per_event.agg(F.count(F.lit(1)).alias("n"), F.min("position").alias("lo"), F.max("position").alias("hi"), F.sum(F.size(qis)).alias("q")).first()
+    if not size["n"]:
+        return log.limit(0)
     ok = F.arrays_overlap(qis, F.array(*[F.lit(x) for x in free]).cast("array<int>")) if free else F.lit(False)
     for qi in sorted({qi for qi, _ in typed}):
         ok = ok | (F.array_contains(qis, qi) & F.col("event_type").isin(sorted(t for q, t in typed if q == qi)))
-    return log.filter(bounds_column(start, backwards)).join(per_event, "position").filter(ok).drop(qis)
+    side = F.broadcast(per_event) if 48 * size["n"] + 4 * size["q"] <= BROADCAST_BYTES else per_event
+    return log.filter(F.col("position").between(size["lo"], size["hi"])).join(side, "position").filter(ok).drop(qis)

@@ -6,7 +6,6 @@ text; ordered reads carry ``seq``, their place in the result.
 
 from __future__ import annotations
 
-import tempfile
 from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
@@ -16,9 +15,9 @@ from .functions.tag_hash import tag_hash_crc, tag_hash_v5
 from .model import Query, QueryItem
 from .operators import conditions as C
 from .operators.fold import decision_model
-from .operators.integrity import index_differences, integrity_report, print_events
+from .operators.integrity import print_events
 from .operators.read import head_of, keyset_pages, read, response_head, with_order
-from .operators.tables import cut, global_rank, shared_dir
+from .operators.tables import global_rank
 from .operators.validate import validate
 from .plans.access import tag_index
 from .sources.tables import event_log, events_as_log
@@ -55,10 +54,10 @@ def _reads() -> tuple[Queries, dict[str, str]]:
     q: Queries = {}
     sql: dict[str, str] = {}
 
-    def add(name: str, query=None, where: str = "true", start=None, backwards=False, limit=None, path=None, index=False) -> None:
+    def add(name: str, query=None, where: str = "true", start=None, backwards=False, limit=None, index=False) -> None:
         def run(spark: SparkSession, d: str) -> DataFrame:
             log = event_log(spark, d)
-            out = read(log, query, start, backwards, limit, tag_index(log) if index else None, ordered=False, path=path)
+            out = read(log, query, start, backwards, limit, tag_index(log) if index else None, ordered=False)
             return flat(with_order(out, backwards))
 
         order = "DESC" if backwards else "ASC"
@@ -87,7 +86,7 @@ def _reads() -> tuple[Queries, dict[str, str]]:
     add("read_or_items_overlap_dedup", OVERLAP, SQL_ONE)
     add("read_empty_item", Query([QueryItem(tags=[TENANT]), QueryItem()]))
     add("read_empty_query", Query())
-    add("read_index_path", INDEXED, SQL_INDEXED, path="index", index=True)
+    add("read_index_path", INDEXED, SQL_INDEXED, index=True)
     return q, sql
 
 
@@ -166,38 +165,6 @@ def _tracking_violations(spark: SparkSession, d: str) -> DataFrame:
     return C.assign_tracking(t).select("seq", "source", "position", F.col("violates").cast("string").alias("violates"))
 
 
-def _store_round_trip(spark: SparkSession, d: str) -> DataFrame:
-    """The log loaded into a store and read back backwards through its index."""
-    from .sources.store import EventStore
-
-    import uuid
-
-    store = EventStore(spark, f"{shared_dir(spark)}/store-{uuid.uuid4().hex}")
-    store.bulk_load(event_log(spark, d), [F.col("position")])
-    return flat(with_order(store.read(BOTH, backwards=True).frame, True))
-
-
-def _subscribe_catchup(spark: SparkSession, d: str) -> DataFrame:
-    """The log loaded into a store, then followed from position 500 by a stream into a table."""
-    from .sources.store import EventStore
-
-    import uuid
-
-    at = f"{shared_dir(spark)}/sub-{uuid.uuid4().hex}"
-    store = EventStore(spark, f"{at}/store")
-    store.bulk_load(event_log(spark, d), [F.col("position")])
-    stream = store.subscribe(TYPES, after=500)
-    w = stream.writeStream.format("parquet").option("path", f"{at}/out").option("checkpointLocation", f"{at}/cp").trigger(availableNow=True)
-    w.start().awaitTermination()
-    return flat(with_order(spark.read.schema(stream.schema).parquet(f"{at}/out")))
-
-
-def _store_check(spark: SparkSession, d: str) -> DataFrame:
-    log = event_log(spark, d)
-    r = integrity_report(log, tag_index(log))
-    return r.select("events", "positions", "first_position", "last_position", F.col("ok").cast("string").alias("ok"))
-
-
 def queries() -> Queries:
     reads, _ = _reads()
     heads, _ = _heads()
@@ -212,23 +179,30 @@ def queries() -> Queries:
         "condition_batch_snapshot": lambda s, d: _conditions_per_actor(s, d, None),
         "condition_after": lambda s, d: _conditions_per_actor(s, d, 600),
         "idempotent_match": _idempotent,
-        "tracking_lookup": lambda s, d: event_log(s, d).filter("tracking_info is not null").groupBy(F.col("tracking_info.source").alias("source")).agg(F.max("tracking_info.position").alias("position")),
         "tracking_monotonic_violations": _tracking_violations,
         "assign_positions": lambda s, d: global_rank(event_log(s, d).select("event_type", F.col("position").alias("old")), [F.col("event_type"), F.col("old")], "position", start=1000),
         "validate_events": lambda s, d: validate(event_log(s, d), max_header_bytes=100).select("position", "error"),
-        "integrity_check": _store_check,
-        "index_check": lambda s, d: index_differences(event_log(s, d), tag_index(event_log(s, d))),
         "tag_hash_v5": lambda s, d: tag_index(event_log(s, d)).select("tag").distinct().withColumn("hash", tag_hash_v5(F.col("tag"))),
         "tag_hash_legacy_crc": lambda s, d: tag_index(event_log(s, d)).select("tag").distinct().withColumn("hash", tag_hash_crc(F.col("tag"))),
-        "snapshot_read": lambda s, d: flat(with_order(read(event_log(s, d).filter("position <= 800"), OR_ITEMS, ordered=False))),
         "keyset_pages": lambda s, d: flat(keyset_pages(read(event_log(s, d), ONE_TAG, ordered=False), 100)),
-        "subscribe_catchup": _subscribe_catchup,
-        "store_round_trip": _store_round_trip,
         "decision_model_fold": lambda s, d: decision_model(event_log(s, d), "tenant:"),
         "print_events": lambda s, d: print_events(event_log(s, d)),
     }
 
 
+# CRC32 by its definition: eight steps of the reflected polynomial for each byte; a salt follows the tag for the second sum.
+LEGACY_SQL = f"""
+    WITH t AS (SELECT DISTINCT tag FROM {UNNESTED}),
+    b AS (SELECT tag, regexp_extract_all(hex(encode(tag)), '..') AS hs FROM t),
+    n AS (SELECT tag, [('0x' || x)::BIGINT FOR x IN hs] AS bytes FROM b),
+    steps AS (SELECT i AS byte, list_reduce([i::BIGINT, 0, 0, 0, 0, 0, 0, 0, 0], lambda c, z: CASE WHEN c % 2 = 1 THEN xor(c >> 1, 3988292384) ELSE c >> 1 END) AS v FROM range(256) r(i)),
+    k AS (SELECT list(v ORDER BY byte) AS v FROM steps),
+    s AS (SELECT tag, xor(list_reduce(list_prepend(4294967295, bytes), lambda c, x: xor(c >> 8, v[xor(c, x) % 256 + 1])), 4294967295) AS high,
+            xor(list_reduce(list_prepend(4294967295, bytes || [158, 55, 121, 185]::BIGINT[]), lambda c, x: xor(c >> 8, v[xor(c, x) % 256 + 1])), 4294967295) AS low FROM n, k),
+    d AS (SELECT tag, lpad(lower(hex(high)), 8, '0') || lpad(lower(hex(low)), 8, '0') AS h FROM s)
+    SELECT tag, h[15:16] || h[13:14] || h[11:12] || h[9:10] || h[7:8] || h[5:6] || h[3:4] || h[1:2] || repeat('0', 16) AS hash FROM d"""
+
+
 def oracle_sql() -> dict[str, str]:
     _, reads = _reads()
     _, heads = _heads()
@@ -248,7 +222,6 @@ def oracle_sql() -> dict[str, str]:
         "idempotent_match": f"""
             WITH r AS (SELECT tag AS req, position, row_number() OVER (PARTITION BY tag ORDER BY position) AS k FROM {UNNESTED})
             SELECT req, max(position) AS position FROM r WHERE k <= 3 GROUP BY req HAVING count(*) FILTER (WHERE k = 2 AND position % 5 = 0) = 0""",
-        "tracking_lookup": "SELECT tracking_info.source AS source, max(tracking_info.position) AS position FROM sequenced_events WHERE tracking_info IS NOT NULL GROUP BY 1",
         "tracking_monotonic_violations": """
             SELECT seq, source, position, CASE WHEN position <= before THEN 'true' ELSE 'false' END AS violates FROM (
               SELECT delivery_id AS seq, source, position, max(position) OVER (PARTITION BY source ORDER BY delivery_id ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING) AS before
@@ -262,20 +235,13 @@ def oracle_sql() -> dict[str, str]:
               WHEN len(list_distinct([m.key FOR m IN metadata])) <> len(metadata) THEN 'metadata contains duplicate keys'
               WHEN strlen(event_type) + coalesce(list_sum([strlen(t) FOR t IN tags]), 0) > 100 THEN 'event too large' END AS error
             FROM sequenced_events""",
-        "integrity_check": """
-            SELECT count(*) AS events, count(DISTINCT position) AS positions, min(position) AS first_position, max(position) AS last_position,
-              CASE WHEN count(*) = 0 OR (min(position) = 1 AND max(position) = count(*) AND count(DISTINCT position) = count(*)) THEN 'true' ELSE 'false' END AS ok
-            FROM sequenced_events""",
-        "index_check": "SELECT '' AS tag, 0::BIGINT AS position, '' AS side WHERE false",
         "tag_hash_v5": f"""
             WITH t AS (SELECT DISTINCT tag FROM {UNNESTED}), h AS (SELECT tag, sha1(unhex('6ba7b8119dad11d180b400c04fd430c8') || encode(tag)) AS s FROM t)
             SELECT tag, s[1:12] || '5' || s[14:16] || CASE WHEN s[17] IN ('0','4','8','c') THEN '8' WHEN s[17] IN ('1','5','9','d') THEN '9' WHEN s[17] IN ('2','6','a','e') THEN 'a' ELSE 'b' END || s[18:32] AS hash FROM h""",
-        "snapshot_read": f"SELECT row_number() OVER (ORDER BY position) AS seq, {FLAT} FROM sequenced_events WHERE ({SQL_OR}) AND position <= 800",
         "keyset_pages": f"SELECT *, (seq - 1) // 100 AS page FROM (SELECT row_number() OVER (ORDER BY position) AS seq, {FLAT} FROM sequenced_events WHERE {SQL_ONE})",
-        "subscribe_catchup": f"SELECT row_number() OVER (ORDER BY position) AS seq, {FLAT} FROM sequenced_events WHERE event_type IN ('{BERTH}', '{FARE}') AND position > 500",
-        "store_round_trip": f"SELECT row_number() OVER (ORDER BY position DESC) AS seq, {FLAT} FROM sequenced_events WHERE {SQL_BOTH}",
         "decision_model_fold": f"""
             WITH u AS {UNNESTED}, c AS (SELECT tag, event_type, count(*) AS n, max(position) AS p FROM u WHERE starts_with(tag, 'tenant:') GROUP BY 1, 2)
             SELECT tag, string_agg(event_type || '=' || n, ',' ORDER BY event_type) AS by_type, sum(n)::BIGINT AS events, max(p) AS last_position FROM c GROUP BY tag""",
+        "tag_hash_legacy_crc": LEGACY_SQL,
         "print_events": "SELECT position, event_type, array_to_string(tags, '|') AS tags, uuid, octet_length(data)::BIGINT AS data_len, lower(hex(data)) AS data_hex FROM sequenced_events",
     }

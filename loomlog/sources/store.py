@@ -3,13 +3,16 @@
 A commit writes its files under new names, then publishes manifest v+1 under a
 name that must not exist yet. Readers take the greatest manifest; its file list
 is their snapshot. Two writers can't publish the same version: the loser
-re-reads and judges its requests again.
+re-reads and judges its requests again. A manifest names only what its commit
+added, and the version whose full list it goes on from; every ``FULL_EVERY``
+commits one has the full list. Small parts at the end are merged when there
+are ``MERGE_PARTS`` of them, so neither lists nor files grow with the commits.
 """
 
 from __future__ import annotations
 
 import json
-import os
+import logging
 import time
 import uuid
 from collections.abc import Iterable
@@ -19,7 +22,8 @@ from typing import TYPE_CHECKING
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from ..errors import ConflictError, CorruptionError, IntegrityError, InvalidArgumentError
+from ..errors import ConflictError, CorruptionError, EventStoreError, IntegrityError, InvalidArgumentError
+from ..files import Files
 from ..model import INDEX_SCHEMA, LOG_SCHEMA, MAX_POSITION, TRACKING_SCHEMA, AppendCondition, AppendRequest, Event, Query, TrackingInfo
 from ..operators import conditions as C
 from ..operators.integrity import integrity_report
@@ -29,10 +33,16 @@ from ..operators.validate import check_event, check_tracking, error_column
 from ..plans.access import tag_index
 from ..plans.compiler import matches
 
+log = logging.getLogger(__name__)
+
 if TYPE_CHECKING:
     from ..streaming.subscribe import Subscription
 
 SOURCE_BUCKETS = 16
+GROUP_EVENTS = 2048  # events that one commit takes before it is closed; a fixed value of the protocol
+FULL_EVERY = 32
+MERGE_PARTS = 32
+SMALL_PART = 100_000  # events below which a part is small
 SMALL_BATCH = 200_000  # query parts and events of a batch whose conditions may be broadcast
 
 
@@ -46,6 +56,11 @@ class Snapshot:
     index: list[dict] = field(default_factory=list)
     tracking: list[str] = field(default_factory=list)
 
+    def added_to(self, old: Snapshot, full: int) -> dict:
+        """The manifest of this snapshot as an addition to ``old``'s, whose last full list is that of version ``full``."""
+        new = {k: getattr(self, k)[len(getattr(old, k)) :] for k in ("log", "index", "tracking")}
+        return {"version": self.version, "head": self.head, "full": full} | new
+
     def files(self, first: int | None = None, last: int | None = None) -> list[str]:
         """Log folders that may hold positions in [first, last]."""
         return [f["path"] for f in self.log if (first is None or f["last"] >= first) and (last is None or f["first"] <= last)]
@@ -58,25 +73,24 @@ class EventStore:
     """
 
     def __init__(self, spark: SparkSession, root: str, max_header_bytes: int | None = None):
-        self.spark, self.root, self.max_header_bytes = spark, root.rstrip("/"), max_header_bytes
-        self._jvm = spark.sparkContext._jvm
-        self._conf = spark.sparkContext._jsc.hadoopConfiguration()
-        self._fs = self._path("").getFileSystem(self._conf)
+        self.spark, self.max_header_bytes = spark, max_header_bytes
+        self.files = Files(spark, root)
+        self.root = self.files.root
 
-    # Files ---------------------------------------------------------------
+    # Manifests -------------------------------------------------------------
 
-    def _path(self, rel: str):
-        return self._jvm.org.apache.hadoop.fs.Path(f"{self.root}/{rel}" if rel else self.root)
-
-    def _manifest_name(self, version: int) -> str:
+    @staticmethod
+    def _manifest_name(version: int) -> str:
         return f"manifest/{version:020d}.json"
 
     def versions(self) -> list[int]:
-        at = self._path("manifest")
-        if not self._fs.exists(at):
-            return []
-        names = [f.getPath().getName() for f in self._fs.listStatus(at)]
-        return sorted(int(n[:-5]) for n in names if n.endswith(".json") and n[:-5].isdigit())
+        return sorted(int(n[:-5]) for n in self.files.names("manifest") if n.endswith(".json") and n[:-5].isdigit())
+
+    def _manifest(self, version: int) -> dict:
+        try:
+            return json.loads(self.files.text(self._manifest_name(version)))
+        except ValueError as e:
+            raise CorruptionError(f"manifest {version} can't be read") from e
 
     def snapshot(self, version: int | None = None) -> Snapshot:
         """The newest snapshot, or that of ``version``."""
@@ -84,44 +98,22 @@ class EventStore:
             version = (self.versions() or [0])[-1]
         if version == 0:
             return Snapshot()
-        stream = self._fs.open(self._path(self._manifest_name(version)))
+        last = self._manifest(version)
         try:
-            text = self._jvm.org.apache.commons.io.IOUtils.toString(stream, "UTF-8")
-        finally:
-            stream.close()
-        try:
-            return Snapshot(**json.loads(text))
-        except (ValueError, TypeError) as e:
+            chain = [self._manifest(v) for v in range(last["full"], version)] + [last]
+            lists = {k: [x for m in chain for x in m[k]] for k in ("log", "index", "tracking")}
+            return Snapshot(version, last["head"], **lists)
+        except (KeyError, TypeError) as e:
             raise CorruptionError(f"manifest {version} can't be read") from e
 
-    def _publish(self, s: Snapshot) -> None:
-        """Makes a manifest appear whole, or raises ConflictError if its version is taken."""
-        text = json.dumps(s.__dict__)
-        name = self._manifest_name(s.version)
-        local = self._fs.getUri().getScheme() == "file"
-        if local:
-            target = f"{self._path('').toUri().getPath()}/{name}"
-            os.makedirs(os.path.dirname(target), exist_ok=True)
-            tmp = f"{target}.{uuid.uuid4().hex}.tmp"
-            with open(tmp, "w") as f:
-                f.write(text)
-                f.flush()
-                os.fsync(f.fileno())
-            try:
-                os.link(tmp, target)  # fails if it is there
-            except FileExistsError as e:
-                raise ConflictError(f"version {s.version} is taken") from e
-            finally:
-                os.unlink(tmp)
-            return
-        tmp = self._path(f"manifest/.{uuid.uuid4().hex}.tmp")
-        out = self._fs.create(tmp, True)
-        out.write(bytearray(text.encode()))
-        out.hsync()
-        out.close()
-        if not self._fs.rename(tmp, self._path(name)):  # on HDFS a rename never replaces
-            self._fs.delete(tmp, False)
-            raise ConflictError(f"version {s.version} is taken")
+    def _publish(self, s: Snapshot, old: Snapshot | None) -> None:
+        """Makes a manifest appear whole, or raises ConflictError if its version is taken; ``old`` is what it adds to, None for a full list."""
+        full = s.version if old is None or old.version == 0 else self._manifest(old.version)["full"]
+        if full == s.version or s.version - full >= FULL_EVERY:
+            text = s.added_to(Snapshot(), s.version)
+        else:
+            text = s.added_to(old, full)
+        self.files.publish(self._manifest_name(s.version), json.dumps(text))
 
     # Reading ---------------------------------------------------------------
 
@@ -165,7 +157,7 @@ class EventStore:
             log = log.filter(F.col("position").between(*ends)) if part else log
             out = read(log, query, start, backwards, limit, index=self.index(s), path=path)
             if k >= len(files) or out.count() >= limit:
-                return ReadResponse(out, lambda: s.head or None, limit)
+                return ReadResponse(out, lambda: s.head or None, limit, backwards=backwards)
             k *= 4
 
     def read_with_head(self, query: Query | None = None, start: int | None = None, backwards: bool = False, limit: int | None = None):
@@ -178,11 +170,11 @@ class EventStore:
         row = self.tracking().filter(F.col("source") == source).first()
         return row["position"] if row else None
 
-    def subscribe(self, query: Query | None = None, after: int | None = None) -> DataFrame:
-        """A streaming DataFrame of the matching events beyond ``after``."""
+    def subscribe(self, query: Query | None = None, after: int | None = None, max_events: int | None = None, state: str | None = None) -> DataFrame:
+        """A streaming DataFrame of the matching events beyond ``after``; see ``streaming.subscribe``."""
         from ..streaming.subscribe import subscribe
 
-        return subscribe(self.spark, self.root, query, after)
+        return subscribe(self.spark, self.root, query, after, max_events, state)
 
     def follow(self, query: Query | None = None, after: int | None = None, batch: int = 1024) -> Subscription:
         """An ordered iterator in the driver over the matching events beyond ``after``, without an end."""
@@ -215,22 +207,42 @@ class EventStore:
         return result
 
     def append_batch(self, requests: list[AppendRequest], retries: int = 20) -> list[int | Exception]:
-        """Judges requests in order, each seeing what those before it added; one commit.
-
-        A request that breaks a condition or a rule gets its error and uses no
-        positions; any other error aborts the batch. An empty request gives 0.
+        """Judges requests in order, each seeing what those before it added.
+
+        Requests are taken in groups of at least ``GROUP_EVENTS`` events (the
+        last may have fewer), one commit each. A request that breaks a
+        condition or a rule gets its error and uses no positions. Any other
+        error aborts its group: nothing of it is committed, and each of its
+        requests gets an error that says no more than that. An empty request
+        gives 0.
         """
-        for k in range(retries):
-            s = self.snapshot()
-            results, accepted = self._judge(requests, s)
-            if not accepted:
-                return results
-            try:
-                self._commit(s, accepted)
-                return results
-            except ConflictError:
-                time.sleep(min(1.0, 0.01 * 2**k))
-        raise ConflictError("other writers kept winning")
+        out: list[int | Exception] = []
+        group: list[AppendRequest] = []
+        for r in requests:
+            group.append(r)
+            if sum(len(g.events) for g in group) >= GROUP_EVENTS:
+                out += self._append_group(group, retries)
+                group = []
+        return out + (self._append_group(group, retries) if group else [])
+
+    def _append_group(self, requests: list[AppendRequest], retries: int) -> list[int | Exception]:
+        try:
+            for k in range(retries):
+                s = self.snapshot()
+                results, accepted = self._judge(requests, s)
+                if not accepted:
+                    return results
+                try:
+                    self._commit(s, accepted)
+                    return results
+                except ConflictError:
+                    time.sleep(min(1.0, 0.01 * 2**k))
+            raise ConflictError("other writers kept winning")
+        except Exception as e:
+            if len(requests) == 1:
+                raise
+            log.warning("a group of %d requests was aborted", len(requests), exc_info=e)
+            return [EventStoreError("the group of this request was aborted; nothing was written") for _ in requests]
 
     def _judge(self, requests: list[AppendRequest], s: Snapshot):
         found: dict[int, list[tuple[int, str | None]]] = {}
@@ -303,15 +315,46 @@ class EventStore:
         idx.sortWithinPartitions("tag", "position").write.parquet(f"{self.root}/index/{name}")
         tracked = written.filter("tracking_info is not null").groupBy("tracking_info.source").agg(F.max("tracking_info.position").alias("position"))
         tracked.coalesce(1 if small else SOURCE_BUCKETS).write.parquet(f"{self.root}/tracking/{name}")
-        self._publish(
-            Snapshot(
-                s.version + 1,
-                head,
-                [*s.log, {"path": f"log/{name}", "first": s.head + 1, "last": head}],
-                [*s.index, {"path": f"index/{name}", "first": s.head + 1, "last": head}],
-                [*s.tracking, f"tracking/{name}"],
-            )
+        for part in ("log", "index", "tracking"):  # on disk before the manifest names them
+            self.files.sync(f"{part}/{name}")
+        new = Snapshot(
+            s.version + 1,
+            head,
+            [*s.log, {"path": f"log/{name}", "first": s.head + 1, "last": head}],
+            [*s.index, {"path": f"index/{name}", "first": s.head + 1, "last": head}],
+            [*s.tracking, f"tracking/{name}"],
         )
+        self._publish(new, s)
+        small_parts = self._small_tail(new)
+        if small_parts >= MERGE_PARTS:
+            try:
+                self._merge(new, len(new.log) - small_parts)
+            except ConflictError:
+                pass  # the winner of the next version merges
+
+    @staticmethod
+    def _small_tail(s: Snapshot) -> int:
+        n = 0
+        while n < len(s.log) and s.log[-1 - n]["last"] - s.log[-1 - n]["first"] < SMALL_PART:
+            n += 1
+        return n
+
+    def _merge(self, s: Snapshot, keep: int) -> None:
+        """Rewrites the parts of ``s`` from number ``keep`` on as one sorted part each of log, index and tracking."""
+        name = f"{s.version + 1:020d}-{uuid.uuid4().hex}"
+        first = s.log[keep]["first"]
+        tail = Snapshot(s.version, s.head, s.log[keep:], s.index[keep:], s.tracking[keep:])
+        small = s.head - first < SMALL_PART
+        events, index = self.log(tail), self.index(tail)
+        events = events.coalesce(1) if small else events.repartitionByRange("position")
+        index = index.coalesce(1) if small else index.repartitionByRange("tag", "position")
+        events.sortWithinPartitions("position").write.parquet(f"{self.root}/log/{name}")
+        index.sortWithinPartitions("tag", "position").write.parquet(f"{self.root}/index/{name}")
+        self.tracking(tail).coalesce(1 if small else SOURCE_BUCKETS).write.parquet(f"{self.root}/tracking/{name}")
+        for part in ("log", "index", "tracking"):
+            self.files.sync(f"{part}/{name}")
+        one = {"first": first, "last": s.head}
+        self._publish(Snapshot(s.version + 1, s.head, [*s.log[:keep], one | {"path": f"log/{name}"}], [*s.index[:keep], one | {"path": f"index/{name}"}], [*s.tracking[:keep], f"tracking/{name}"]), None)
 
     def bulk_load(self, events: DataFrame, order: list, retries: int = 5) -> int:
         """Appends a large DataFrame of events unconditionally, in the order of the columns ``order``.
@@ -342,38 +385,28 @@ class EventStore:
 
     # Upkeep ---------------------------------------------------------------
 
-    def check(self) -> DataFrame:
-        """One row of integrity figures of the newest snapshot; ``ok`` sums them up."""
+    def check(self, index: DataFrame | None = None) -> DataFrame:
+        """One row of integrity figures of the newest snapshot, or of another index beside it; ``ok`` sums them up."""
         s = self.snapshot()
-        return integrity_report(self.log(s), self.index(s), self.tracking(s), s.head)
+        return integrity_report(self.log(s), self.index(s) if index is None else index, self.tracking(s), s.head)
 
     def compact(self) -> None:
         """Rewrites the snapshot's files as one sorted set; old snapshots stay readable until ``vacuum``."""
         s = self.snapshot()
         if not s.head:
             return
-        name = f"{s.version + 1:020d}-{uuid.uuid4().hex}"
-        self.log(s).repartitionByRange("position").sortWithinPartitions("position").write.parquet(f"{self.root}/log/{name}")
-        self.index(s).repartitionByRange("tag", "position").sortWithinPartitions("tag", "position").write.parquet(f"{self.root}/index/{name}")
-        self.tracking(s).coalesce(SOURCE_BUCKETS).write.parquet(f"{self.root}/tracking/{name}")
-        one = {"first": 1, "last": s.head}
-        self._publish(Snapshot(s.version + 1, s.head, [one | {"path": f"log/{name}"}], [one | {"path": f"index/{name}"}], [f"tracking/{name}"]))
+        self._merge(s, 0)
 
     def vacuum(self, keep: int = 1) -> list[str]:
         """Deletes folders that none of the last ``keep`` manifests names, and older manifests. Run it without writers."""
         versions = self.versions()
         live = [self.snapshot(v) for v in versions[-keep:]]
         used = {f["path"] for s in live for f in [*s.log, *s.index]} | {p for s in live for p in s.tracking}
-        gone = []
-        for part in ("log", "index", "tracking"):
-            at = self._path(part)
-            if not self._fs.exists(at):
-                continue
-            for f in self._fs.listStatus(at):
-                rel = f"{part}/{f.getPath().getName()}"
-                if rel not in used:
-                    self._fs.delete(f.getPath(), True)
-                    gone.append(rel)
+        oldest = min((self._manifest(v)["full"] for v in versions[-keep:]), default=0)
+        gone = [f"{part}/{n}" for part in ("log", "index", "tracking") for n in self.files.names(part) if f"{part}/{n}" not in used]
+        for rel in gone:
+            self.files.delete(rel)
         for v in versions[:-keep]:
-            self._fs.delete(self._path(self._manifest_name(v)), False)
+            if v < oldest:
+                self.files.delete(self._manifest_name(v))
         return gone

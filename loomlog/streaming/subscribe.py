@@ -4,6 +4,7 @@ from __future__ import annotations
 
 import json
 import os
+import re
 import threading
 import time
 from collections.abc import Callable, Iterator
@@ -13,8 +14,9 @@ from pyspark.sql import functions as F
 from pyspark.sql.datasource import DataSource, DataSourceStreamReader, InputPartition
 
 from ..errors import CancelledError, IntegrityError, StoreTimeoutError
+from ..files import Files
 from ..model import LOG_SCHEMA, MAX_POSITION, Query, TrackingInfo
-from ..plans.compiler import query_column
+from ..plans.compiler import is_match_all, query_column
 
 
 def _local(path: str) -> str:
@@ -37,12 +39,31 @@ class _Files:
 
         at = f"{self.root}/manifest"
         infos = self.fs.get_file_info(pafs.FileSelector(at, allow_not_found=True))
-        names = sorted(i.base_name for i in infos if i.base_name.endswith(".json"))
+        names = sorted(i.base_name for i in infos if i.base_name.endswith(".json") and i.base_name[:-5].isdigit())
         if not names:
             return {"head": 0, "log": []}
-        with self.fs.open_input_stream(f"{at}/{names[-1]}") as f:
+        last = self._json(f"{at}/{names[-1]}")
+        chain = [self._json(f"{at}/{n}") for n in names[:-1] if int(n[:-5]) >= last["full"]] + [last]
+        return {"head": last["head"], "log": [x for m in chain for x in m["log"]]}
+
+    def _json(self, path: str) -> dict:
+        with self.fs.open_input_stream(path) as f:
             return json.loads(f.read())
 
+    def number(self, name: str, default: int) -> int:
+        """A number kept in a small file."""
+        try:
+            with self.fs.open_input_stream(f"{self.root}/{name}") as f:
+                return int(f.read())
+        except FileNotFoundError:
+            return default
+
+    def put(self, name: str, text: str) -> None:
+        """Replaces a small file as a whole."""
+        self.fs.create_dir(self.root, recursive=True)
+        with self.fs.open_output_stream(f"{self.root}/{name}.new") as f:
+            f.write(text.encode())
+        self.fs.move(f"{self.root}/{name}.new", f"{self.root}/{name}")
 
     def parts(self, folder: str) -> list[str]:
         import pyarrow.fs as pafs
@@ -57,21 +78,35 @@ class Span(InputPartition):
 
 
 class LogStreamReader(DataSourceStreamReader):
-    """Offsets are positions; the latest one is the manifest's head, so a batch never passes a commit.
+    """Offsets are positions; the latest one is at most the manifest's head, so a batch never passes a commit.
 
-    A batch has a task per Parquet file that may hold its positions.
+    A batch has a task per Parquet file that may hold its positions, and, with
+    ``maxEvents``, as many positions at most. What was given out last is kept
+    in a file of the folder ``state``, for a restarted query to go on from;
+    it is written before the offset is used, so it is never behind.
     """
 
     def __init__(self, options: dict):
         self.root = options["path"]
         self.after = int(options.get("after", 0))
+        self.most = int(options.get("maxEvents", 0))
+        self.state = options.get("state", "")
+        self.types = json.loads(options.get("types", "null"))
+        self.given: int | None = None
 
     def initialOffset(self) -> dict:
         return {"position": self.after}
 
     def latestOffset(self) -> dict:
-        head = _Files(self.root).manifest()["head"]
-        return {"position": max(self.after, head)}
+        head = max(self.after, _Files(self.root).manifest()["head"])
+        if not self.most:
+            return {"position": head}
+        kept = _Files(self.state)
+        if self.given is None:  # the first look of a new or restarted query
+            self.given = kept.number("given", self.after)
+        self.given = min(head, self.given + self.most)
+        kept.put("given", str(self.given))
+        return {"position": self.given}
 
     def partitions(self, start: dict, end: dict) -> list[Span]:
         first, last = start["position"] + 1, end["position"]
@@ -91,6 +126,8 @@ class LogStreamReader(DataSourceStreamReader):
         files = _Files(self.root)
         data = ds.dataset(f"{files.root}/{partition.path}", format="parquet", filesystem=files.fs)
         keep = (pc.field("position") >= partition.first) & (pc.field("position") <= partition.last)
+        if self.types is not None:
+            keep &= pc.field("event_type").isin(self.types)
         names = [f.name for f in LOG_SCHEMA.fields]
         for b in data.to_batches(columns=names, filter=keep):
             if b.num_rows:
@@ -109,16 +146,27 @@ class LogSource(DataSource):
         return LogStreamReader(self.options)
 
 
-def subscribe(spark: SparkSession, root: str, query: Query | None = None, after: int | None = None) -> DataFrame:
+def subscribe(spark: SparkSession, root: str, query: Query | None = None, after: int | None = None, max_events: int | None = None, state: str | None = None) -> DataFrame:
     """A stream of the matching events beyond ``after``: first those there, then each commit.
 
     Rows of a micro-batch come unordered; sort by position inside foreachBatch.
     ``after`` at or beyond the greatest position gives a stream that stays empty.
+    Where every item of the query names types, other events are left out while
+    files are read. ``max_events`` bounds the positions of one micro-batch, so
+    that a long history comes in many; it needs ``state``, a folder of the
+    query's own beside its checkpoint, from its first start on. With such a bound use a processing-time
+    trigger: ``availableNow`` ends after the first batch.
     """
     after = after or 0
+    if max_events is not None and not state:
+        raise ValueError("max_events needs a state folder")
     spark.dataSource.register(LogSource)
-    s = spark.readStream.format("loomlog").option("path", root).option("after", str(min(after, MAX_POSITION))).load()
-    out = s.filter(F.col("position") > min(after, MAX_POSITION)).filter(query_column(query))
+    s = spark.readStream.format("loomlog").option("path", Files(spark, root).root).option("after", str(min(after, MAX_POSITION)))
+    if max_events is not None:
+        s = s.option("maxEvents", str(max(1, max_events))).option("state", Files(spark, state).root)
+    if not is_match_all(query) and all(i.types for i in query.items):
+        s = s.option("types", json.dumps(sorted({t for i in query.items for t in i.types})))
+    out = s.load().filter(F.col("position") > min(after, MAX_POSITION)).filter(query_column(query))
     return out.filter(F.lit(False)) if after >= MAX_POSITION else out
 
 
@@ -208,9 +256,19 @@ def project(stream: DataFrame, checkpoint: str, source: str, target, fold: Calla
     return (w.trigger(availableNow=True) if available_now else w).start()
 
 
-def cancel_all(spark: SparkSession) -> int:
-    """Stops every active subscription; returns how many there were."""
-    active = list(spark.streams.active)
+def cancel_all(spark: SparkSession, queries: list | None = None) -> int:
+    """Stops the given streaming queries, or else those of the session that read a store; returns how many there were."""
+    active = [q for q in (spark.streams.active if queries is None else queries) if q.isActive and (queries is not None or _reads_a_store(q))]
     for q in active:
         q.stop()
     return len(active)
+
+
+def _reads_a_store(query) -> bool:
+    """Whether a streaming query's sources are logs: Python sources whose offsets are positions."""
+
+    def is_log(source: dict) -> bool:
+        offset = re.fullmatch(r"\W*position\W+\d+\W*", str(source.get("endOffset")))
+        return "PythonMicroBatchStream" in source.get("description", "") and offset is not None
+
+    return any(is_log(s) for s in (query.lastProgress or {}).get("sources", []))

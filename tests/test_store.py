@@ -209,6 +209,85 @@ def test_subscription(store, spark, tmp_path):
     assert target.head() == 4 and target.get_tracking_info("up") == 4
 
 
+def test_stream_in_bounded_batches(store, spark, tmp_path):
+    from loomlog.streaming.subscribe import cancel_all
+
+    store.append([E("a" if k % 3 else "b") for k in range(20)])
+    sizes = []
+
+    def start():
+        s = store.subscribe(Q((["a"], [])), max_events=6, state=f"{tmp_path}/state")
+        return s.writeStream.foreachBatch(lambda df, _: sizes.append(sorted(r["position"] for r in df.select("position").collect()))).option("checkpointLocation", f"{tmp_path}/cp").start()
+
+    q = start()
+    q.processAllAvailable()
+    assert cancel_all(spark) == 1 and cancel_all(spark) == 0
+    first = len(sizes)
+    assert all(len(x) <= 6 for x in sizes)
+    store.append([E("a") for _ in range(15)])
+    q = start()  # goes on where it was, still in small batches
+    q.processAllAvailable()
+    q.stop()
+    assert sorted(p for x in sizes for p in x) == [k + 1 for k in range(20) if k % 3] + list(range(21, 36))
+    assert all(len(x) <= 6 for x in sizes) and len(sizes) >= first + 3
+    with pytest.raises(ValueError):
+        store.subscribe(max_events=5)
+
+
+def test_many_commits_stay_small(store, monkeypatch):
+    """Manifests are additions to full lists, and small parts are merged; every version stays readable until vacuum."""
+    from loomlog.sources import store as module
+
+    monkeypatch.setattr(module, "FULL_EVERY", 3)
+    monkeypatch.setattr(module, "MERGE_PARTS", 4)
+    for k in range(9):
+        store.append([E("a", f"t{k}")], tracking_info=TrackingInfo("s", k))
+    assert at(store)[0] == list(range(1, 10)) and store.get_tracking_info("s") == 8
+    assert len(store.snapshot().log) <= 4 and store.check().first()["ok"]
+    heads = [store.snapshot(v).head for v in store.versions()]
+    assert heads == sorted(heads) and heads[-1] == 9
+    store.vacuum()
+    assert at(store, Q(([], ["t3"]))) == ([4], 9) and store.check().first()["ok"]
+
+
+def test_aborted_group(store, monkeypatch):
+    """An unexpected failure commits nothing of its group; the others' errors don't tell its cause."""
+    from loomlog import EventStoreError
+    from loomlog.sources import store as module
+
+    monkeypatch.setattr(module, "GROUP_EVENTS", 2)
+    real, calls = store._commit, []
+
+    def fail(s, accepted):
+        calls.append(len(accepted))
+        if len(calls) == 1:
+            raise OSError("secret disk")
+        return real(s, accepted)
+
+    monkeypatch.setattr(store, "_commit", fail)
+    out = store.append_batch([AppendRequest([E("a")]), AppendRequest([E("b")]), AppendRequest([E("c")])])
+    assert [type(x) for x in out[:2]] == [EventStoreError] * 2 and "secret" not in str(out[0]) and out[2] == 1
+    assert store.head() == 1 and calls == [2, 1]
+
+
+def test_cancel_stops_jobs(spark, store):
+    store.append([E("a") for _ in range(3)])
+    r = store.read(limit=2)
+    assert r.head() == 2
+    slow = spark.range(8, numPartitions=8).select(F.expr("cast(java_method('java.lang.Thread', 'sleep', 60000L) as string) as s"))
+    r.frame = slow
+    import threading
+    import time as clock
+
+    threading.Timer(3, r.cancel).start()
+    began = clock.time()
+    try:
+        assert r.next_batch() == []
+    except Exception as e:  # the job's own cancellation may surface
+        assert "cancel" in str(e).lower()
+    assert clock.time() - began < 40
+
+
 def test_follow(store, spark):
     from loomlog import CancelledError, StoreTimeoutError
 
