@@ -15,18 +15,16 @@ from ..operators.tables import cut
 
 PIECES = "doc_id bigint, piece bigint, tokens bigint"
 PACKED = "doc_id bigint, piece bigint, tokens bigint, grp bigint, bin bigint, fill bigint, bins bigint, bound bigint"
-#: How public byte-pair vocabularies cut text before merging; a fixed value that belongs to the rank files.
-SPLIT = r"""'s|'t|'re|'ve|'m|'ll|'d| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s+(?!\S)|\s+"""
-
 
 @functools.lru_cache(maxsize=4)
 def tokenizer(path: str):
-    """The byte-pair tokenizer of a rank file, made once per worker."""
+    """The byte-pair tokenizer of a rank file, made once per worker; text is cut before merging by the pattern installed beside it."""
     import tiktoken
+    from public_tokenizers import PATTERN
 
     with open(path, "rb") as f:
         ranks = {base64.b64decode(a): int(b) for a, b in map(bytes.split, f)}
-    return tiktoken.Encoding("ranks", pat_str=SPLIT, mergeable_ranks=ranks, special_tokens={})
+    return tiktoken.Encoding("ranks", pat_str=PATTERN, mergeable_ranks=ranks, special_tokens={})
 
 
 def token_counts(docs: DataFrame, ranks: str, doc_id: str = "doc_id", text: str = "text") -> DataFrame:

@@ -62,6 +62,17 @@ def p7_fill(spark: SparkSession, d: str) -> DataFrame:
     return b.agg(F.count(F.lit(1)).alias("containers"), F.ceil(total / 2048).alias("least"), F.max("t").alias("fullest"), total.alias("tokens"), F.round(1 - total / (F.count(F.lit(1)) * 2048), 5).alias("unused"))
 
 
+def p7_checks(spark: SparkSession, d: str) -> DataFrame:
+    """One row: messages and tokens packed, those that stand twice or lack a piece, containers too full, and messages cut without need."""
+    p = cut(packing.pack_documents(table(spark, d, "documents"), rank_file(), 2048))
+    whole = (F.count(F.lit(1)) == F.countDistinct("piece")) & (F.count(F.lit(1)) == F.max("piece") + 1)
+    need = F.greatest(F.ceil(F.sum("tokens") / 2048), F.lit(1))
+    per_doc = p.groupBy("doc_id").agg((~whole).cast("long").alias("unwhole"), (F.count(F.lit(1)) != need).cast("long").alias("cut"))
+    per_bin = p.groupBy("container").agg((F.sum("tokens") > 2048).cast("long").alias("over"))
+    docs = per_doc.agg(F.count(F.lit(1)).alias("messages"), F.sum("unwhole").alias("unwhole"), F.sum("cut").alias("cut_without_need"))
+    return docs.crossJoin(F.broadcast(per_bin.agg(F.sum("over").alias("too_full"))))  # single rows
+
+
 def p8_method(spark: SparkSession, d: str) -> DataFrame:
     """The named method alone: item-sized windows within the Hamming radius, alike by their weighted shingles."""
     out = leaks.find_leaks(table(spark, d, "documents"), table(spark, d, "eval_items"), exact=False)
@@ -109,6 +120,7 @@ def queries() -> Queries:
         "p4_top": p4_top,
         "p7_packed": p7_packed,
         "p7_fill": p7_fill,
+        "p7_checks": p7_checks,
         "p8_method": p8_method,
         "p8_found": p8_found,
         "p8_items": p8_items,
@@ -134,5 +146,6 @@ def oracle_sql() -> dict[str, str]:
         "p1_found": f"{PAIRS} SELECT a AS tag_a, b AS tag_b FROM j WHERE n * rows >= 20 * na * nb",
         "p1_pairs": f"{PAIRS} SELECT a AS item_a, b AS item_b, n AS n_ab, na AS n_a, nb AS n_b, round(n::DOUBLE * rows / (na::DOUBLE * nb), 3) AS lift FROM j",
         "p4_found": f"{ENTRIES} SELECT field, item_value FROM c WHERE n >= 40 AND n * 1000 >= (SELECT sum(n) FROM c d WHERE d.field = c.field)",
+        "p7_checks": "SELECT count(*) AS messages, 0::BIGINT AS unwhole, 0::BIGINT AS cut_without_need, 0::BIGINT AS too_full FROM documents",
         "p4_top": f"{ENTRIES} SELECT field, item_value, n FROM (SELECT *, row_number() OVER (PARTITION BY field ORDER BY n DESC, item_value) AS r FROM c) WHERE r <= 50",
     }
