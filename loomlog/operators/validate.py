@@ -32,7 +32,7 @@ def error_column(max_header_bytes: int | None = None) -> Column:
         .when(F.size(meta) > MAX_METADATA, "too many metadata entries")
         .when(long_key, "metadata key too long")
         .when(long_value, "metadata value too long")
-        .when(F.size(F.array_distinct(keys)) != F.size(keys), "metadata contains duplicate keys")
+        .when(F.size(F.array_distinct(keys)) != F.size(keys), "a metadata key stands twice")
     )
     if max_header_bytes is not None:
         out = out.when(header_bytes() > max_header_bytes, "event too large")
@@ -53,7 +53,7 @@ def check_event(e: Event, max_header_bytes: int | None = None) -> None:
         (len(keys) > MAX_METADATA, "too many metadata entries"),
         (any(len(k.encode()) > MAX_METADATA_BYTES for k in keys), "metadata key too long"),
         (any(len(v.encode()) > MAX_METADATA_BYTES for _, v in e.metadata), "metadata value too long"),
-        (len(set(keys)) != len(keys), "metadata contains duplicate keys"),
+        (len(set(keys)) != len(keys), "a metadata key stands twice"),
         (max_header_bytes is not None and size > max_header_bytes, "event too large"),
     ):
         if bad:
@@ -62,4 +62,4 @@ def check_event(e: Event, max_header_bytes: int | None = None) -> None:
 
 def check_tracking(t: TrackingInfo) -> None:
     if len(t.source.encode()) > MAX_SOURCE_BYTES:
-        raise InvalidArgumentError("tracking source too long")
+        raise InvalidArgumentError("the name of a tracking source is too long")

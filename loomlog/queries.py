@@ -232,7 +232,7 @@ def oracle_sql() -> dict[str, str]:
               WHEN len(tags) > 65535 THEN 'too many tags' WHEN len(metadata) > 65535 THEN 'too many metadata entries'
               WHEN list_max([strlen(m.key) FOR m IN metadata]) > 65535 THEN 'metadata key too long'
               WHEN list_max([strlen(m.value) FOR m IN metadata]) > 65535 THEN 'metadata value too long'
-              WHEN len(list_distinct([m.key FOR m IN metadata])) <> len(metadata) THEN 'metadata contains duplicate keys'
+              WHEN len(list_distinct([m.key FOR m IN metadata])) <> len(metadata) THEN 'a metadata key stands twice'
               WHEN strlen(event_type) + coalesce(list_sum([strlen(t) FOR t IN tags]), 0) > 100 THEN 'event too large' END AS error
             FROM sequenced_events""",
         "tag_hash_v5": f"""

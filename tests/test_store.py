@@ -288,6 +288,21 @@ def test_cancel_stops_jobs(spark, store):
     assert clock.time() - began < 40
 
 
+def test_command_line(store, spark, capsys, tmp_path):
+    import json
+
+    from loomlog.__main__ import main
+
+    rows = [(k, "a" if k % 2 else "b", ["t", f"x{k}"], bytearray(b"d"), None, [], None) for k in range(1, 7)]
+    spark.createDataFrame(rows, LOG_SCHEMA).write.parquet(f"{tmp_path}/in")
+    run = lambda *a: (main([store.root, *a], spark), [json.loads(x) for x in capsys.readouterr().out.splitlines()])
+    assert run("load", "--source", f"{tmp_path}/in", "--order", "position") == (0, [{"head": 6}])
+    assert run("head") == (0, [{"head": 6}])
+    assert [r["position"] for r in run("read", "--type", "a", "--tag", "t", "--start", "4", "--backwards", "--limit", "1")[1]] == [3]
+    assert run("compact")[0] == 0 and run("check")[0] == 0
+    assert len(run("vacuum")[1][0]["deleted"]) == 3
+
+
 def test_follow(store, spark):
     from loomlog import CancelledError, StoreTimeoutError
 
