@@ -154,6 +154,34 @@ def similarity(a: np.ndarray, b: np.ndarray, weights: np.ndarray) -> float:
     return both / max(1, sum(shingles[0].values()) + sum(shingles[1].values()) - both)
 
 
+def similarities(run: np.ndarray, item: np.ndarray, weights: np.ndarray) -> np.ndarray:
+    """``similarity`` of every window of ``run`` that is as long as ``item``; shingles are told apart once for all."""
+    heavy = np.where(weights == 0, weights.max(initial=1), weights).astype(np.int64)
+    view = np.lib.stride_tricks.sliding_window_view
+    both = np.concatenate([view(run, SHINGLE), view(item, SHINGLE)])
+    ids = np.unique(both, axis=0, return_inverse=True)[1].ravel()
+    mine, theirs = ids[: len(run) - SHINGLE + 1], np.unique(ids[len(run) - SHINGLE + 1 :], return_index=True)
+    w = heavy[both & (BUCKETS - 1)].sum(axis=1)
+    total = int(w[len(mine) :][theirs[1]].sum())
+    common = np.where(np.isin(mine, theirs[0]), w[: len(mine)], 0)
+    n, m = len(run) - len(item) + 1, len(item) - SHINGLE + 1
+    # A shingle that stands again within a window counts once: where it stood less than a window before, it is left out.
+    before = np.full(len(mine), -m, np.int64)
+    order = np.argsort(mine, kind="stable")
+    same = np.flatnonzero(np.diff(mine[order]) == 0)
+    before[order[same + 1]] = order[same]
+    again = np.flatnonzero(np.arange(len(mine)) - before < m)
+    out = []
+    for x in (w[: len(mine)], common):
+        sums = np.concatenate([[0], np.cumsum(x)])
+        out.append(sums[m : m + n] - sums[:n])
+        for k in again:  # windows that hold both places
+            lo, hi = max(0, k - m + 1), min(n - 1, before[k])
+            out[-1][lo : hi + 1] -= x[k]
+    own, shared = out
+    return shared / np.maximum(1, own + total - shared)
+
+
 # The search ------------------------------------------------------------------
 
 
@@ -189,7 +217,7 @@ def _probes(items: DataFrame, weights, size: int) -> DataFrame:
 
 
 def _scan(docs: DataFrame, weights, size: int, bitmap, near, decoded: bool) -> DataFrame:
-    """Candidates of all documents: runs of words whose windows the bitmap knows (kind 0), windows near to items' (kind 1).
+    """Candidates of all documents: runs of words whose windows the bitmap knows (kind 0), or are near to one window of an item (kind 1).
 
     ``near`` is (items, offsets, sizes, fingerprints, radius). ``decoded``
     documents are words already, with zeros between parts.
@@ -232,8 +260,13 @@ def _scan(docs: DataFrame, weights, size: int, bitmap, near, decoded: bool) -> D
             for s, t in tables.items():
                 win, probe = t.candidates(f[s])
                 ok = whole(win, s)
-                for x, p in zip(win[ok], at[s][probe[ok]], strict=True):
-                    emit(1, x, s, int(item[p]), int(off[p]), s)
+                win, probe = win[ok], probe[ok]
+                order = np.lexsort((win, probe))
+                win, probe = win[order], at[s][probe[order]]
+                split = (np.diff(win) != 1) | (np.diff(probe) != 0) | (part[win[1:]] != part[win[:-1]])
+                first = np.flatnonzero(np.concatenate([[True], split])) if len(win) else []
+                for lo, hi in zip(first, [*first[1:], len(win)], strict=True):  # windows in a row are one run of words
+                    emit(1, win[lo], int(hi - lo) + s - 1, int(item[probe[lo]]), int(off[probe[lo]]), s)
             cols = list(zip(*rows, strict=True)) if rows else [[] for _ in range(8)]
             types = [pa.int32(), pa.int64(), pa.int64(), pa.int64(), pa.int64(), pa.int32(), pa.int32(), pa.list_(pa.int64())]
             return pa.record_batch([pa.array(c, t) for c, t in zip(cols, types, strict=True)], names=[x.split()[0] for x in FOUND.split(", ")])
@@ -362,9 +395,10 @@ def _near(windows: DataFrame, items: DataFrame, weights, least: float) -> DataFr
         w = weights.value
         for t in batches:
             pairs = zip(t.column(2), t.column(3), strict=True)
-            sim = [similarity(*(x.values.to_numpy(zero_copy_only=False) for x in p), w) for p in pairs]
-            yield pa.record_batch([t.column(0), t.column(1), pa.array(sim, pa.float64())], names=["doc_id", "item_id", "best"])
+            sims = [similarities(*(x.values.to_numpy(zero_copy_only=False) for x in p), w) for p in pairs]
+            n = pa.array([int((x >= least).sum()) for x in sims], pa.int64())
+            yield pa.record_batch([t.column(0), t.column(1), n, pa.array([float(x.max()) for x in sims], pa.float64())], names=["doc_id", "item_id", "n", "best"])
 
-    ok = j.mapInArrow(run, "doc_id bigint, item_id bigint, best double").filter(F.col("best") >= least)
-    per = ok.groupBy("doc_id", "item_id").agg(F.count(F.lit(1)).alias("near_windows"), F.max("best").alias("best"))
+    ok = j.mapInArrow(run, "doc_id bigint, item_id bigint, n bigint, best double").filter("n > 0")
+    per = ok.groupBy("doc_id", "item_id").agg(F.sum("n").alias("near_windows"), F.max("best").alias("best"))
     return per.withColumn("exact_windows", F.lit(0).cast("bigint")).withColumn("longest_run", F.lit(0).cast("bigint")).select(*RESULT)

@@ -320,6 +320,12 @@ def test_fingerprints_and_similarity():
     w = np.ones(leaks.BUCKETS, np.int16)
     a, b = np.array([1, 2, 3, 4, 5, 6, 7]), np.array([1, 2, 3, 4, 5, 6, 8])
     assert leaks.similarity(a, b, w) == 2 / 4 and leaks.similarity(np.ones(7, np.int64), np.ones(7, np.int64), w) == 1.0
+    weights[5] = 0
+    for k in range(300):  # windows of a run at once; few words, so that shingles repeat
+        words_ = rng.integers(1, 2 + k % 4 if k % 3 else 9, (2, 60))
+        run, item = words_[0, : 12 + k % 40], words_[1, : 12 if k % 2 else 9]
+        one = [leaks.similarity(run[p : p + len(item)], item, weights) for p in range(len(run) - len(item) + 1)]
+        assert np.allclose(leaks.similarities(run, item, weights), one)
     assert [leaks.size_class(n, 12) for n in (12, 13, 14, 15, 146)] == [12, 13, 13, 15, 129]
 
 
