@@ -57,7 +57,7 @@ def first_copies(df: DataFrame, identifiers: dict[str, Column], row_id: str, max
     combos = cut(keyed.groupBy(*names).agg(F.min("__row").alias("first_id"), F.count(F.lit(1)).alias("__rows")))
     seen = combos.withColumn("__shared", F.lit(False))
     for n in names:
-        seen = _along(seen, n, F.count(F.lit(1)).alias("__k"), "__shared", lambda: F.col("__shared") | (F.col("__k") > 1))
+        seen = _along(seen, n, F.count(F.lit(1)).alias("__k"), "__shared", lambda: F.col("__shared") | F.col("__k").isNotNull(), F.col("__k") > 1)
     seen = cut(seen)
     done = seen.filter("not __shared").drop("__shared")
     live = seen.filter("__shared").drop("__shared").withColumn("__self", F.col("first_id"))
@@ -77,10 +77,14 @@ def first_copies(df: DataFrame, identifiers: dict[str, Column], row_id: str, max
     return join_split(keyed, labels.drop("__rows"), names, counts).select(F.col("__row").alias(row_id), "first_id")
 
 
-def _along(step: DataFrame, name: str, agg: Column, target: str, new: Callable[[], Column]) -> DataFrame:
-    """Sets ``target`` to ``new()`` where ``agg`` (as ``__k``) is known of the rows that share identifier ``name``; others stay."""
+def _along(step: DataFrame, name: str, agg: Column, target: str, new: Callable[[], Column], wanted: Column | None = None) -> DataFrame:
+    """Sets ``target`` to ``new()``, of which ``__k`` is ``agg`` over the rows that share identifier ``name``; rows without it stay.
+
+    Only values for which ``wanted`` holds are joined; for others ``__k`` is null.
+    """
     have = step.filter(F.col(name) != "")
-    side = cut(have.groupBy(name).agg(agg, F.count(F.lit(1)).alias("n")))
+    side = have.groupBy(name).agg(agg, F.count(F.lit(1)).alias("n"))
+    side = cut(side if wanted is None else side.filter(wanted))
     met = join_split(have, side.drop("n"), [name], side.select(name, "n")).withColumn(target, new()).select(*step.columns)
     return met.unionByName(step.filter(F.col(name) == ""))
 
