@@ -261,10 +261,12 @@ def _scan(docs: DataFrame, weights, size: int, bitmap, near, decoded: bool) -> D
                 win, probe = t.candidates(f[s])
                 ok = whole(win, s)
                 win, probe = win[ok], probe[ok]
+                if not len(win):
+                    continue
                 order = np.lexsort((win, probe))
                 win, probe = win[order], at[s][probe[order]]
                 split = (np.diff(win) != 1) | (np.diff(probe) != 0) | (part[win[1:]] != part[win[:-1]])
-                first = np.flatnonzero(np.concatenate([[True], split])) if len(win) else []
+                first = np.flatnonzero(np.concatenate([[True], split]))
                 for lo, hi in zip(first, [*first[1:], len(win)], strict=True):  # windows in a row are one run of words
                     emit(1, win[lo], int(hi - lo) + s - 1, int(item[probe[lo]]), int(off[probe[lo]]), s)
             cols = list(zip(*rows, strict=True)) if rows else [[] for _ in range(8)]
