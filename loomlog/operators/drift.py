@@ -512,7 +512,7 @@ def unified(log: DataFrame, segments: DataFrame, changed: DataFrame | None = Non
     kept = F.filter(F.concat(data, meta), lambda x: x["raw"].isNotNull() & x["value"].isNotNull() & (F.schema_of_variant(x["value"]) != "VOID"))
     to = lambda x: F.element_at("__to", x["raw"])
     named = F.transform(
-        kept,
+        "__kept",  # a column of its own, so that it isn't made again for every element below
         lambda x, i: F.struct(
             F.coalesce(to(x)["canonical"], x["raw"]).alias("field"),
             (F.coalesce(to(x)["canonical"], x["raw"]) != x["raw"]).alias("other"),
