@@ -540,5 +540,7 @@ def unified(log: DataFrame, segments: DataFrame, changed: DataFrame | None = Non
 
 def conflicts(table: DataFrame) -> DataFrame:
     """(event_type, field, raw, events): under which names a second value of a field came, in how many events."""
-    x = table.select("event_type", F.explode("conflicts").alias("x"))
+    names = F.transform("conflicts", lambda c: F.struct(c["field"].alias("field"), c["raw"].alias("raw")))
+    # Written first: a filter that the optimizer makes of the explode would evaluate the whole table again.
+    x = cut(table.select("event_type", names.alias("conflicts"))).select("event_type", F.explode("conflicts").alias("x"))
     return x.groupBy("event_type", F.col("x.field").alias("field"), F.col("x.raw").alias("raw")).agg(F.count(F.lit(1)).alias("events"))
